@@ -181,3 +181,41 @@ def jaccard_join(docs: DataFrame, **parameters) -> DataFrame:
     b = groups.select(F.col("rep").alias("b"), F.col("members").alias("right_ids"))
     near = verified.join(a, "a").join(b, "b").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), "jaccard", F.array_sort(F.array_union("left_ids", "right_ids")).alias("doc_ids"))
     return same.unionByName(near)
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root) of every node of pairs (a, b): root is the smallest node of its connected component.
+
+    Alternates joining larger neighbours and smaller ones to the smallest, until
+    nothing changes: a logarithmic number of rounds in practice, none of which
+    gathers a component in one place.  Each round is written to the shared folder.
+    """
+    edges = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = None
+    while True:
+        # every node's larger neighbours join its smallest neighbour (or itself)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
+        large = both.withColumn("low", low).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        # every node and its smaller neighbours join the smallest of them
+        small = large.withColumn("low", F.min("v").over(Window.partitionBy("u")))
+        joined = small.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        edges = written(joined.union(small.select("u", F.col("low").alias("v"))).distinct(), "edges")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == state:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+        state = now
+
+
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """docs with one document, that with the smallest doc_id, of each group of near duplicates.
+
+    A group is what a chain of pairs links whose Jaccard reaches the threshold; see
+    jaccard_join() for what matches nothing and stays.  Columns stay as they are.
+    """
+    groups, verified = near_groups(docs, **parameters)
+    linked = components(verified.select("a", "b")).where("node <> root").select(F.col("node").alias("rep"))
+    copies = groups.where(F.size("members") > 1).select(F.explode(F.slice("members", 2, 2147483647)).alias("gone"))
+    chained = groups.join(linked, "rep").select(F.explode("members").alias("gone"))
+    gone = copies.union(chained).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
