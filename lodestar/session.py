@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -77,7 +78,16 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    del writer, df
+    release(spark)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of jobs that are over, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def remove(spark: SparkSession, path: str) -> None:
