@@ -8,8 +8,9 @@
 3. Of every distinct set the prefix goes out, token by token.  Two sets whose
    Jaccard reaches the threshold share a token of both prefixes.  A token whose
    counter is 1 occurs once in the corpus, can join nothing, and stays home.
-4. Sets that share a prefix token are compared by size (length filter) and by
-   the positions of their first common token (positional filter).
+4. Sets that share a prefix token are compared by size (length filter), by the
+   positions of that token (positional filter), and by a 64-bit map of the parities
+   of their hashed tokens: a bit that differs stands for a token that one alone has.
 5. Candidates are verified on their full token sets.
 
 A line is removed if an earlier line, by (doc_id, position), has a Jaccard of the
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
@@ -34,6 +35,9 @@ THRESHOLD = 0.8
 #: Counters of token frequencies.
 COUNTERS = 1 << 21
 COUNTER_PARTS = 16
+#: Pairs looked at side by side, and rows of the prefix index in hand; the rows of one token aren't parted.
+PAIRS = 1 << 20
+PREFIX_ROWS = 1 << 18
 #: Matches a text that has a word, as tokens.words_of() understands it.
 HAS_WORD = r"[A-Za-z0-9]|[^\x00-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]"
 
@@ -52,13 +56,14 @@ def counter_of(tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sets:
-    """Distinct tokens of lines, sorted within each; name: a 64-bit sum that names a line's set (0 if empty)."""
+    """Distinct tokens of lines, sorted within each; name: a 64-bit sum that names a line's set (0 if empty); parity: its map."""
 
     token: np.ndarray
     row: np.ndarray
     bounds: np.ndarray
     size: np.ndarray
     name: np.ndarray
+    parity: np.ndarray
     all_tokens: np.ndarray
 
 
@@ -68,10 +73,11 @@ def token_sets(lines: pa.Array) -> Sets:
     token, row, bounds = distinct_in_rows(np.repeat(np.arange(n), np.diff(words.offsets)), words.hashes, n)
     size = np.diff(bounds)
     full = np.flatnonzero(size)
-    name = np.zeros(n, dtype=np.uint64)
+    name, parity = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
     if len(full):
         name[full] = np.add.reduceat(mix64(token), bounds[:-1][full])
-    return Sets(token, row, bounds, size, name, words.hashes)
+        parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), bounds[:-1][full])
+    return Sets(token, row, bounds, size, name, parity, words.hashes)
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -136,7 +142,7 @@ def rank_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(token, id, size, place) of the prefix tokens of every line; place: of the token in the set, rarest first."""
+    """(token, id, size, place, parity) of the prefix tokens of every line; place: of the token in the set, rarest first."""
     # 2 bytes a counter, whatever the size of the corpus
     shared = docs.sparkSession.sparkContext.broadcast(rank_of(counts))
 
@@ -161,11 +167,63 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                 chosen = np.flatnonzero((place < prefix_length(sets.size, threshold)[row]) & (rank[order] > 0))
                 owner = row[chosen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[order][chosen].view(np.int64)), pa.array(sets.name[owner].view(np.int64)), pa.array(sets.size[owner].astype(np.int32)), pa.array(place[chosen].astype(np.int32))],
-                    names=["token", "id", "size", "place"],
+                    [pa.array(token[order][chosen].view(np.int64)), pa.array(sets.name[owner].view(np.int64)), pa.array(sets.size[owner].astype(np.int32)), pa.array(place[chosen].astype(np.int32)), pa.array(sets.parity[owner].view(np.int64))],
+                    names=["token", "id", "size", "place", "parity"],
                 )
 
-    return docs.mapInArrow(prefix, "token long, id long, size int, place int")
+    return docs.mapInArrow(prefix, "token long, id long, size int, place int, parity long")
+
+
+def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """(x, y) of sets that share a prefix token and pass the filters, x the smaller one; a pair comes once for each such token."""
+    names = ["token", "size", "id", "place", "parity"]
+
+    def pairs_of(token: np.ndarray, size: np.ndarray, name: np.ndarray, place: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (token, size, id)."""
+        fresh = np.ones(len(token), dtype=bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])  # lines of the same set are one
+        token, size, name, place, parity = (c[fresh] for c in (token, size, name, place, parity))
+        group = np.cumsum(np.append(False, token[1:] != token[:-1]))
+        span = np.int64(1) << 32
+        longest = np.floor(size / threshold + 1e-9).astype(np.int64)
+        end = np.searchsorted(group * span + size, group * span + longest, side="right")
+        total = np.concatenate([[0], np.cumsum(end - np.arange(len(token)) - 1)])
+        at = 0
+        while at < len(token):
+            # as many rows as make about PAIRS pairs, one row at least
+            stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
+            count = np.diff(total[at : stop + 1])
+            i = np.repeat(np.arange(at, stop), count)
+            j = i + 1 + np.arange(len(i)) - np.repeat(total[at:stop] - total[at], count)
+            both = size[i] + size[j]
+            overlap = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+            good = np.minimum(size[i] - place[i], size[j] - place[j]) >= overlap
+            good &= np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= both - 2 * overlap
+            i, j = i[good], j[good]
+            yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], names=["x", "y"])
+            at = stop
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append([batch.column(n).to_numpy().astype(np.int64) for n in names])
+            rows += batch.num_rows
+            if rows < PREFIX_ROWS:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            # the last token may go on in the next batch
+            edge = int(np.searchsorted(columns[0], columns[0][-1]))
+            if edge:
+                yield from pairs_of(*(c[:edge] for c in columns))
+            held, rows = [[c[edge:] for c in columns]], len(columns[0]) - edge
+        if held:
+            yield from pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    together = prefixes.select(*names).repartition("token").sortWithinPartitions("token", "size", "id")
+    return together.mapInArrow(join, "x long, y long")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -217,21 +275,7 @@ def later_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     scanned = written(_scan(docs), "lines")
     lines = scanned.where("line IS NOT NULL").drop("counts")
     sets = written(lines.groupBy("id", "size").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("held")), "line-sets")
-    prefixes = _prefixes(docs, _frequencies(scanned), threshold).repartition("token").groupBy("token", "id", "size").agg(F.min("place").alias("place"))
-    # a token that one set alone has joins nothing
-    prefixes = written(prefixes.withColumn("held", F.count("*").over(Window.partitionBy("token"))).where("held > 1").drop("held"), "prefixes")
-    x = prefixes.select("token", F.col("id").alias("x"), F.col("size").alias("x_size"), F.col("place").alias("x_place"))
-    y = prefixes.select("token", F.col("id").alias("y"), F.col("size").alias("y_size"), F.col("place").alias("y_place"))
-    overlap = F.ceil(threshold / (1 + threshold) * (F.col("x_size") + F.col("y_size")) - 1e-9)
-    within_reach = 1 + F.least(F.col("x_size") - F.col("x_place") - 1, F.col("y_size") - F.col("y_place") - 1)
-    candidates = (
-        x.join(y, "token")
-        .where((F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x") < F.col("y"))))
-        .where(F.col("x_size") >= threshold * F.col("y_size") - 1e-9)
-        .where(within_reach >= overlap)
-        .select("x", "y")
-        .distinct()
-    )
+    candidates = _candidates(_prefixes(docs, _frequencies(scanned), threshold), threshold).distinct()
     firsts = sets.select("id", "first")
     pairs = written(
         candidates.join(firsts.select(F.col("id").alias("x"), F.col("first").alias("x_first")), "x").join(firsts.select(F.col("id").alias("y"), F.col("first").alias("y_first")), "y"),
