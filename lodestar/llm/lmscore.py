@@ -37,11 +37,11 @@ ORDER = 2
 BASE = 2.0
 BITS_PER_ENTRY = 12
 PROBES = 5
-BROADCAST_BYTES = 128 << 20
-SHARD_INPUT_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
+SHARD_INPUT_BYTES = 8 << 20
 BUFFER_NGRAMS = 3_000_000
 #: Text scored at once: the more, the fewer distinct n-grams are probed.
-SCORE_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
 #: Weight of the longest n-gram's estimate against that of the next shorter one.
 INTERPOLATION = 0.6
 
