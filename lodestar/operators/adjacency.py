@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import input_bytes, ship, written
+from ..session import UNKNOWN_BYTES, input_bytes, ship, written
 
 DIRECTIONS = ("out", "in", "both")
 #: Limits of the adjacency that is broadcast: estimated bytes of the edges, and rows.
@@ -85,7 +85,7 @@ class Graph:
 def local_graph(adjacency: DataFrame, weighted: bool = False, limit: int | None = None) -> Graph | None:
     """adjacency (src, dst and weight) as a Graph, or None where it is too large for the driver."""
     limit = LOCAL_EDGES if limit is None else limit
-    if limit <= 0 or input_bytes(adjacency) > LOCAL_BYTES:
+    if limit <= 0 or LOCAL_BYTES < input_bytes(adjacency) < UNKNOWN_BYTES:
         return None
     rows = adjacency.select("src", "dst", *(["weight"] if weighted else [])).limit(limit + 1).toArrow()
     if rows.num_rows > limit:

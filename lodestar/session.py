@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
 import shutil
@@ -11,6 +12,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -73,20 +75,23 @@ def new_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and the loss of an executor costs nothing."""
     spark = df.sparkSession
+    release(spark)
     path = new_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    del writer, df
-    release(spark)
-    return out
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of jobs that are over, which it does when the driver collects its garbage."""
+    """Has Spark delete the shuffle files of jobs that are over, which it does when the driver collects its garbage.
+
+    Events in the listener bus hold the plans of such jobs, so it waits for them a little.
+    """
     gc.collect()
+    with contextlib.suppress(Py4JJavaError):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -97,6 +102,10 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Estimates from here on stand for an unknown size.
+UNKNOWN_BYTES = 1 << 60
+
+
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes df reads; no job is run."""
+    """Catalyst's estimate of the bytes df reads, UNKNOWN_BYTES or more where it has none; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
