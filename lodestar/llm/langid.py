@@ -101,8 +101,15 @@ def train(docs: DataFrame, *, max_train_docs: int = 8000, orders: tuple[int, ...
     """
     spark = docs.sparkSession
     ship(spark)
-    labelled = docs.where("lang IS NOT NULL AND trim(lang) <> '' AND length(text) > 0").select("lang", "text", F.xxhash64("doc_id", F.substring("text", 1, 64)).alias("place"))
-    sample = labelled.orderBy("place", "lang").limit(max_train_docs)
+    labelled = docs.where("lang IS NOT NULL AND trim(lang) <> '' AND length(text) > 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("place"))
+    # a histogram of the hashes' leading 16 bits tells how far the lowest reach, so that no more texts than that are moved
+    step = F.shiftright("place", 48)
+    reach, held = None, 0
+    for row in labelled.groupBy(step.alias("step")).count().orderBy("step").collect():
+        reach, held = row["step"], held + row["count"]
+        if held >= max_train_docs:
+            break
+    sample = labelled.where(step <= F.lit(reach)).orderBy("place", "lang").limit(max_train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

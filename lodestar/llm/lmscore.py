@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..session import input_bytes, new_path, ship
+from ..session import UNKNOWN_BYTES, input_bytes, new_path, ship
 from .tokens import Words, mix64, multipliers, slices, windows, words_of
 
 ORDER = 2
@@ -176,7 +177,10 @@ def train(docs: DataFrame, *, order: int = ORDER, broadcast_bytes: int = BROADCA
     """Counts the n-grams of all texts and builds the filter.  Null texts count as empty."""
     spark = docs.sparkSession
     ship(spark)
-    shards = 1 << max(4, (input_bytes(docs.select("text")) // SHARD_INPUT_BYTES).bit_length())
+    size = input_bytes(docs.select("text"))
+    if size >= UNKNOWN_BYTES:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 << max(4, (size // SHARD_INPUT_BYTES).bit_length())
     folder = new_path(spark, "filter")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
