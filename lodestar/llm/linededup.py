@@ -36,8 +36,8 @@ THRESHOLD = 0.8
 COUNTERS = 1 << 21
 COUNTER_PARTS = 16
 #: Pairs looked at side by side, and rows of the prefix index in hand; the rows of one token aren't parted.
-PAIRS = 1 << 20
-PREFIX_ROWS = 1 << 18
+PAIRS = 1 << 18
+PREFIX_ROWS = 1 << 17
 #: Matches a text that has a word, as tokens.words_of() understands it.
 HAS_WORD = r"[A-Za-z0-9]|[^\x00-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]"
 
