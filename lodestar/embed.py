@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from .functions.words import split_words
 from .session import ship
@@ -40,8 +41,9 @@ def with_embeddings(texts: DataFrame, embedder: Embedder, text_column: str = "te
     """texts with a column embedding; encoded in batches by workers, null texts as empty ones."""
     ship(texts.sparkSession)
     shared = texts.sparkSession.sparkContext.broadcast(embedder)
-    at = texts.columns.index(text_column)
-    schema = texts.schema.add("embedding", "array<float>")
+    names = texts.columns
+    at = names.index(text_column)
+    schema = StructType([*texts.schema.fields, StructField("embedding", ArrayType(FloatType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -49,6 +51,6 @@ def with_embeddings(texts: DataFrame, embedder: Embedder, text_column: str = "te
                 part = rows.slice(a, batch)
                 made = np.asarray(shared.value.encode([t or "" for t in part.column(at).to_pylist()]), dtype=np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*texts.columns, "embedding"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*names, "embedding"])
 
     return texts.mapInArrow(run, schema)
