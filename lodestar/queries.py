@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import catalog
-from .catalog import EDGES_SQL, RECORDS_SQL, TEXTS_SQL
+from .catalog import ALL_TEXTS_SQL, EDGES_SQL, RECORDS_SQL, TEXTS_SQL
 from .functions.words import query_phrases
 from .operators import algorithms, graph, hybrid, keyword, vector
 from .operators.adjacency import reach, steps
@@ -168,13 +168,13 @@ def compact_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # keywords
 
 
-def _bm25_sql(text: str, k: int = 10, where: str = "true", name: str = "hits") -> str:
+def _bm25_sql(text: str, k: int = 10, where: str = "true", name: str = "hits", texts: str = TEXTS_SQL) -> str:
     """Common table expressions up to `name` (id, score), for single words."""
     words: dict[str, int] = {}
     for (word,) in query_phrases(text):
         words[word] = words.get(word, 0) + 1
     terms = ", ".join(f"('{w}', {n})" for w, n in words.items())
-    return f"""{TEXTS_SQL},
+    return f"""{texts},
 tokens AS (SELECT id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS words FROM texts),
 stats AS (SELECT count(*) AS n, avg(len(words)) AS avg_len FROM tokens),
 terms(term, times) AS (VALUES {terms}),
@@ -202,8 +202,8 @@ def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stems are beyond SQL; held against SQLite's full-text index in the tests."""
-    return _rounded(keyword.search(catalog.texts(spark, sf_dir), WORDS, 10))
+    """Over all texts.  Stems are beyond SQL; held against SQLite's full-text index in the tests."""
+    return _rounded(keyword.search(catalog.all_texts(spark, sf_dir), WORDS, 10))
 
 
 @query(f"WITH {TEXTS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM texts) SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n FROM t GROUP BY term")
@@ -212,9 +212,9 @@ def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("positions")).cast("bigint").alias("n"))
 
 
-def _hybrid_sql(label: int | None = None) -> str:
+def _hybrid_sql(label: int | None = None, texts: str = TEXTS_SQL) -> str:
     allowed = "true" if label is None else f"id IN (SELECT id FROM records WHERE label = {label})"
-    return f"""WITH {RECORDS_SQL}, {_bm25_sql(WORDS, 50, allowed)},
+    return f"""WITH {RECORDS_SQL}, {_bm25_sql(WORDS, 50, allowed, texts=texts)},
 kw AS (SELECT id, row_number() OVER (ORDER BY round(score, 12), id) AS r FROM hits),
 near AS (SELECT b.id, round({COSINE}, 12) AS score FROM records a, records b WHERE a.id = '{QUERY_ID}' AND {"true" if label is None else f"b.label = {label}"}),
 vec AS (SELECT id, row_number() OVER (ORDER BY score, id) AS r FROM near ORDER BY score, id LIMIT 50),
@@ -222,8 +222,8 @@ fused AS (SELECT coalesce(vec.id, kw.id) AS id, coalesce(1.0::DOUBLE / (60 + vec
 SELECT CAST(row_number() OVER (ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST, id) AS INTEGER) AS rank, id, round(score, 6) AS score FROM fused ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST, id LIMIT 10"""
 
 
-def _hybrid(spark: SparkSession, sf_dir: str, where) -> DataFrame:
-    records = catalog.full_records(spark, sf_dir)
+def _hybrid(spark: SparkSession, sf_dir: str, where, full=catalog.full_records) -> DataFrame:
+    records = full(spark, sf_dir)
     return _rounded(hybrid.search(records, _vector(records), WORDS, 10, where=where, stemmed=False)).select("rank", "id", "score")
 
 
@@ -237,6 +237,41 @@ def hybrid_rrf_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir, {"label": 3})
 
 
+# the same over all documents with a text: those above keep to the texts that have a vector, as their SQL does
+
+
+@query(f"WITH {_bm25_sql(WORDS, texts=ALL_TEXTS_SQL)} SELECT id, round(score, 6) AS score FROM hits")
+def bm25_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(keyword.search(catalog.all_texts(spark, sf_dir), WORDS, 10, stemmed=False))
+
+
+@query(f"WITH {_bm25_sql(WORDS + ' thing', texts=ALL_TEXTS_SQL)} SELECT id, round(score, 6) AS score FROM hits")
+def bm25_duplicate_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(keyword.search(catalog.all_texts(spark, sf_dir), WORDS + " thing", 10, stemmed=False))
+
+
+@query(f"WITH {_bm25_sql(WORDS, texts=ALL_TEXTS_SQL)} SELECT id, round(score, 6) AS score FROM hits")
+def bm25_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = catalog.all_texts(spark, sf_dir)
+    return _rounded(keyword.search_index(keyword.postings(texts, stemmed=False), keyword.corpus_stats(texts, stemmed=False), WORDS, 10, stemmed=False))
+
+
+@query(f"WITH {ALL_TEXTS_SQL}, t AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM texts) SELECT term, count(DISTINCT id) AS n_docs, count(*) AS n FROM t GROUP BY term")
+def postings_terms_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = keyword.postings(catalog.all_texts(spark, sf_dir), stemmed=False)
+    return index.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("positions")).cast("bigint").alias("n"))
+
+
+@query(_hybrid_sql(texts=ALL_TEXTS_SQL))
+def hybrid_rrf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, None, catalog.all_records)
+
+
+@query(_hybrid_sql(3, ALL_TEXTS_SQL))
+def hybrid_rrf_filtered_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hybrid(spark, sf_dir, {"label": 3}, catalog.all_records)
+
+
 # graph
 
 _SUPPLIER = "s1"
