@@ -37,19 +37,24 @@ def integer_weights(totals: dict[str, int], alpha: float) -> dict[str, int]:
     return {s: max(1, math.floor(1_000_000 * (n / top) ** alpha + 0.5)) for s, n in totals.items() if n > 0}
 
 
-def quotas(weights: dict[str, int], blocks: dict[str, int], shards: int) -> dict[str, list[int]]:
+def quotas(weights: dict[str, int], blocks: dict[str, int], shards: int, total: int | None = None) -> dict[str, list[int]]:
     """Seats of each source up to the end of each shard.
 
-    The house is the largest in which no source needs more blocks than it has,
-    cut down to a multiple of shards.  Equal quotients go to the source whose
-    name sorts first.  A source without blocks takes no part; a source without
-    a positive weight gets nothing.
+    Without a total, the house is the largest in which no source needs more blocks
+    than it has, cut down to a multiple of shards: it ends for all sources where the
+    first one runs out, so that a tiny source can cut most of a corpus off.  With a
+    total, a source that runs out drops out and the others go on by the highest
+    quotients up to so many seats, or all blocks there are; shards then differ by one
+    seat at most, and those after the first source ran out no longer hold the weights.
+
+    Equal quotients go to the source whose name sorts first.  A source without
+    blocks takes no part; a source without a positive weight gets nothing.
     """
     names = sorted(s for s in weights if blocks.get(s, 0) > 0 and weights[s] > 0)
     if not names:
         return {}
-    # the first seat that some source could not fill ends the house
-    end = min((-weights[s] / (2 * blocks[s] + 1), s) for s in names)
+    # the first seat that some source could not fill ends the house, unless a total is stated
+    end = min((-weights[s] / (2 * blocks[s] + 1), s) for s in names) if total is None else (math.inf, "")
 
     def seats(limit: tuple[float, str]) -> dict[str, int]:
         """For each source, its seats that come before the seat with this (-quotient, name)."""
@@ -66,10 +71,9 @@ def quotas(weights: dict[str, int], blocks: dict[str, int], shards: int) -> dict
         return out
 
     house = sum(seats(end).values())
-    per_shard = house // shards
     result: dict[str, list[int]] = {s: [] for s in names}
     for shard in range(1, shards + 1):
-        want = per_shard * shard
+        want = house // shards * shard if total is None else min(total, house) * shard // shards
         # every seat is known by (source, k); find the want-th in order by bisecting each source's seats
         best = seats(end) if want >= house else _first(want, names, weights, blocks, seats)
         for s in names:
@@ -100,11 +104,14 @@ def mix_sources(
     shards: int = 8,
     alpha: float = 0.7,
     seed: str = "17",
+    keep: float | None = None,
 ) -> DataFrame:
     """(doc_id, source, n_tokens, block, shard) of every document selected.
 
     A document belongs to the block of its source in which its first token
     lies.  weights: integer weights by source; where absent, tokens ** alpha.
+    keep: the share of the blocks of all weighted sources to select, whichever of them
+    run out; where absent, the selection ends with the first that does (see quotas()).
 
     A null source counts as the source "".  Rows without a doc_id are left out.
     A document without tokens (null or empty text) weighs nothing and goes with
@@ -139,7 +146,9 @@ def mix_sources(
     blocks = written(blocks, "mix-blocks")
     has = {r[0]: r[1] for r in blocks.groupBy("source").count().collect()}
     totals = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    table = quotas(weights if weights is not None else integer_weights(totals, alpha), has, shards)
+    weights = weights if weights is not None else integer_weights(totals, alpha)
+    total = None if keep is None else math.ceil(keep * sum(n for s, n in has.items() if weights.get(s, 0) > 0))
+    table = quotas(weights, has, shards, total)
     spans = [(s, k, ([0, *ends])[k], ends[k]) for s, ends in table.items() for k in range(len(ends)) if ends[k] > ([0, *ends])[k]]
     quota = spark.createDataFrame(spans, "source string, shard int, first_seat int, end_seat int")
     # one row a source and shard: small beside anything that is shuffled here
