@@ -41,3 +41,61 @@ def test_hybrid_joins_texts_without_vector_and_vectors_without_text(spark, fewer
     rows = {r.id: r for r in catalog.all_records(spark, fewer_vectors).collect()}
     assert rows["100"].text is not None and rows["100"].embedding is None
     assert rows["495"].text is None and rows["495"].embedding is not None
+
+
+@pytest.fixture(scope="module")
+def all_edges(spark, small):
+    return [(r.source_id, r.target_id, r.relation) for r in catalog.edges(spark, small).collect()]
+
+
+@pytest.mark.parametrize("name", ["connected_components_all", "connected_components_all_joined"])
+def test_components_of_all_edges(spark, small, all_edges, name):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in all_edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a  # the least id stays on top
+    got = {r.id: r.component for r in QUERIES[name](spark, small).collect()}
+    assert got == {x: find(x) for x in root}
+    assert {x[0] for x in got} == set("cnorsp")
+
+
+def test_pagerank_of_all_edges(spark, small, all_edges):
+    ids = sorted({x for a, b, _ in all_edges for x in (a, b)})
+    outs = dict.fromkeys(ids, 0)
+    for a, _, _ in all_edges:
+        outs[a] += 1
+    rank = dict.fromkeys(ids, 1 / len(ids))
+    for _ in range(50):
+        loose = sum(rank[x] for x in ids if not outs[x])
+        new = dict.fromkeys(ids, 0.15 / len(ids) + 0.85 * loose / len(ids))
+        for a, b, _ in all_edges:
+            new[b] += 0.85 * rank[a] / outs[a]
+        change, rank = sum(abs(new[x] - rank[x]) for x in ids), new
+        if change < 1e-8:
+            break
+    assert {r.id: r.rank for r in QUERIES["pagerank_all"](spark, small).collect()} == pytest.approx(rank, abs=2e-9)
+
+
+def test_path_over_all_edges(spark, small, all_edges):
+    path = [r.id for r in sorted(QUERIES["shortest_path_all"](spark, small).collect())]
+    near = {}
+    for a, b, _ in all_edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    level = {"c1": ["c1"]}
+    while path[-1] not in level:
+        level = {x: min([*p, x] for y, p in level.items() if x in near[y]) for x in {x for y in level for x in near[y]}}
+    assert path == level[path[-1]] and len(path) > 2
+
+
+@pytest.mark.parametrize("name", ["import_csv_all", "import_adjacency_all"])
+def test_imports_hold_all_edges(spark, small, all_edges, name):
+    got = QUERIES[name](spark, small).collect()
+    assert sorted((r.source_id, r.target_id) for r in got) == sorted({(a, b) for a, b, _ in all_edges})
+    assert {r.relation for r in got} == ({r for _, _, r in all_edges} if name == "import_csv_all" else {"linked"})
