@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -95,25 +95,28 @@ def _scores(texts: pa.Array, log_prob: np.ndarray, orders: tuple[int, ...]) -> t
 def train(docs: DataFrame, *, max_train_docs: int = 8000, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS, smoothing: float = 0.05) -> Model:
     """Fits the model on labelled rows (lang not null, text not empty).
 
-    At most max_train_docs of them, those with the lowest hashes of doc_id and
-    text, so the choice is the same whenever the rows are.  With no labelled row the
-    model has no language and every text is unknown.
+    At most max_train_docs of each label, those with the lowest hashes of doc_id and
+    text, so the choice is the same whenever the rows are, and no label is without a
+    row however rare it is.  Priors are the labels' shares of all labelled rows.  With
+    no labelled row the model has no language and every text is unknown.
     """
     spark = docs.sparkSession
     ship(spark)
     labelled = docs.where("lang IS NOT NULL AND trim(lang) <> '' AND length(text) > 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("place"))
-    # a histogram of the hashes' leading 16 bits tells how far the lowest reach, so that no more texts than that are moved
+    # histograms of the hashes' leading 16 bits tell how far the lowest reach in each label, so that few more texts than those are moved
     step = F.shiftright("place", 48)
-    reach, held = None, 0
-    for row in labelled.groupBy(step.alias("step")).count().orderBy("step").collect():
-        reach, held = row["step"], held + row["count"]
-        if held >= max_train_docs:
-            break
-    sample = labelled.where(step <= F.lit(reach)).orderBy("place", "lang").limit(max_train_docs)
+    rising = Window.partitionBy("lang").orderBy("step")
+    held = labelled.groupBy("lang", step.alias("step")).count().withColumn("before", F.sum("count").over(rising) - F.col("count"))
+    spans = held.groupBy("lang").agg(F.max(F.when(F.col("before") < max_train_docs, F.col("step"))).alias("reach"), F.sum("count").alias("held")).collect()
+    if not spans:
+        return Model([], np.zeros((buckets, 0), dtype=np.float32), np.zeros(0), orders)
+    # one row a label, as the model has
+    reach = F.broadcast(spark.createDataFrame([(r.lang, r.reach) for r in spans], "lang string, reach long"))
+    lowest = Window.partitionBy("lang").orderBy("place")
+    sample = labelled.join(reach, "lang").where(step <= F.col("reach")).withColumn("at", F.row_number().over(lowest)).where(F.col("at") <= max_train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        rows: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 names = part.column("lang").to_pylist()
@@ -122,18 +125,16 @@ def train(docs: DataFrame, *, max_train_docs: int = 8000, orders: tuple[int, ...
                     mine = np.repeat(np.array([x == name for x in names]), np.diff(offsets))
                     counts = np.bincount(ids[mine], minlength=buckets)
                     total[name] = total[name] + counts if name in total else counts
-                    rows[name] = rows.get(name, 0) + names.count(name)
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([rows[k] for k in total]), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["lang", "rows", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["lang", "counts"])
 
-    got: dict[str, list] = {}
-    for r in sample.select("lang", "text").mapInArrow(count, "lang string, rows long, counts binary").collect():
-        x = got.setdefault(r.lang, [0, np.zeros(buckets, dtype=np.int64)])
-        x[0] += r.rows
-        x[1] += np.frombuffer(r.counts, dtype=np.int64)
+    got = {r.lang: np.zeros(buckets, dtype=np.int64) for r in spans}
+    for r in sample.select("lang", "text").mapInArrow(count, "lang string, counts binary").collect():
+        got[r.lang] += np.frombuffer(r.counts, dtype=np.int64)
     names = sorted(got)
-    counts = np.array([got[k][1] for k in names], dtype=np.float64).reshape(len(names), buckets) + smoothing
-    prior = np.log(np.array([got[k][0] for k in names], dtype=np.float64) / max(1, sum(x[0] for x in got.values())))
+    counts = np.array([got[k] for k in names], dtype=np.float64).reshape(len(names), buckets) + smoothing
+    held_rows = {r.lang: r.held for r in spans}
+    prior = np.log(np.array([held_rows[k] for k in names], dtype=np.float64) / sum(held_rows.values()))
     log_prob = np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
     return Model(names, np.ascontiguousarray(log_prob), prior, orders)
 
