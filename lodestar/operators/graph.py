@@ -48,14 +48,14 @@ class Traversal:
     nodes: DataFrame
     edges: DataFrame
     reached: DataFrame
-    max_nodes: int
+    max_nodes: int | None
 
     def truncated(self) -> bool:
-        return self.reached.limit(self.max_nodes + 1).count() > self.max_nodes
+        return self.max_nodes is not None and self.reached.limit(self.max_nodes + 1).count() > self.max_nodes
 
 
-def traverse(edges: DataFrame, start: str, max_depth: int = 2, relation: str | None = None, direction: str = "both", max_nodes: int = 1000, *, local_edges: int | None = None) -> Traversal:
-    """Nodes within max_depth steps of start, by depth and id the first max_nodes of them.
+def traverse(edges: DataFrame, start: str, max_depth: int = 2, relation: str | None = None, direction: str = "both", max_nodes: int | None = 1000, *, local_edges: int | None = None) -> Traversal:
+    """Nodes within max_depth steps of start, by depth and id the first max_nodes of them, or all if that is None.
 
     start is at depth 0, with or without a record.  Edges are those at a node that
     was expanded, one less deep than max_depth.
@@ -63,7 +63,7 @@ def traverse(edges: DataFrame, start: str, max_depth: int = 2, relation: str | N
     check_direction(direction)
     starts = edges.sparkSession.createDataFrame([(start,)], "start string")
     reached = reach(steps(edges, relation, direction), starts, max_depth, local_edges=local_edges).select(F.col("node").alias("id"), "depth")
-    nodes = reached.orderBy("depth", "id").limit(max_nodes)
+    nodes = reached if max_nodes is None else reached.orderBy("depth", "id").limit(max_nodes)
     expanded = nodes.where(F.col("depth") < max_depth).select("id")
     own = of_relation(edges, relation).select("source_id", "target_id", "relation")
     sides = []

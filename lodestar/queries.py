@@ -303,17 +303,16 @@ def neighbors_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REACHED = f"WITH RECURSIVE {EDGES_SQL}, {_BOTH}, walked AS (SELECT '{_SUPPLIER}' AS id, 0 AS depth UNION SELECT b.dst, w.depth + 1 FROM walked w JOIN both_ways b ON b.src = w.id AND b.relation = 'supplies' WHERE w.depth < {{0}}), reached AS (SELECT id, min(depth) AS depth FROM walked GROUP BY id)"
-_MANY = 10_000_000
 
 
 @query(_REACHED.format(3) + " SELECT id, CAST(depth AS INTEGER) AS depth FROM reached")
 def traverse_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.traverse(catalog.edges(spark, sf_dir), _SUPPLIER, 3, "supplies", "both", _MANY).nodes
+    return graph.traverse(catalog.edges(spark, sf_dir), _SUPPLIER, 3, "supplies", "both", None).nodes
 
 
 @query(_REACHED.format(2) + " SELECT DISTINCT source_id, target_id, relation FROM edges JOIN (SELECT id FROM reached WHERE depth < 2) ON id IN (source_id, target_id) WHERE relation = 'supplies'")
 def traverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.traverse(catalog.edges(spark, sf_dir), _SUPPLIER, 2, "supplies", "both", _MANY).edges
+    return graph.traverse(catalog.edges(spark, sf_dir), _SUPPLIER, 2, "supplies", "both", None).edges
 
 
 @query(_REACHED.format(3) + " SELECT count(*) > 1000 AS truncated, least(count(*), 1000) AS n FROM reached")

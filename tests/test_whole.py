@@ -1,9 +1,12 @@
 """Queries over all rows of a folder, on tables where a part is easily left out."""
 
+import inspect
+
 import duckdb
 import pytest
 
 from lodestar import catalog
+from lodestar.operators import graph
 from lodestar.queries import ORACLE_SQL, QUERIES
 
 
@@ -99,3 +102,24 @@ def test_imports_hold_all_edges(spark, small, all_edges, name):
     got = QUERIES[name](spark, small).collect()
     assert sorted((r.source_id, r.target_id) for r in got) == sorted({(a, b) for a, b, _ in all_edges})
     assert {r.relation for r in got} == ({r for _, _, r in all_edges} if name == "import_csv_all" else {"linked"})
+
+
+@pytest.mark.parametrize("local", [None, 0])
+def test_traversal_without_limit(spark, local):
+    hub = spark.createDataFrame([("hub", f"leaf{i}", "r", "{}") for i in range(1500)], "source_id string, target_id string, relation string, metadata string")
+    walked = graph.traverse(hub, "hub", 2, max_nodes=None, local_edges=local)
+    assert walked.nodes.count() == 1501 and walked.edges.count() == 1500 and not walked.truncated()
+
+
+@pytest.mark.parametrize("name", ["traverse_nodes", "traverse_edges"])
+def test_registered_traversals_have_no_limit(spark, small, name, monkeypatch):
+    seen = []
+    real = graph.traverse
+
+    def spy(*args, **more):
+        seen.append(inspect.signature(real).bind(*args, **more).arguments.get("max_nodes", 1000))
+        return real(*args, **more)
+
+    monkeypatch.setattr(graph, "traverse", spy)
+    QUERIES[name](spark, small)
+    assert seen == [None]
