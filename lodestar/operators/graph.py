@@ -133,6 +133,7 @@ def weighted_steps(edges: DataFrame, relation: str | None, direction: str, weigh
 def shortest_path_weighted(edges: DataFrame, source: str, target: str, relation: str | None = None, direction: str = "both", weight_field: str = "weight", default_weight: float = 1.0, *, local_edges: int | None = None) -> tuple[list[str], float] | None:
     """(ids on a path of the least total weight, that weight), None if there is none.
 
+    Of several such paths one of the fewest steps, of these the one that sorts first.
     An edge that can be reached and has a negative weight, or one that isn't a
     number, raises ValueError.
     """
@@ -150,45 +151,50 @@ def shortest_path_weighted(edges: DataFrame, source: str, target: str, relation:
     if graph is not None:
         a, b = graph.index(source), graph.index(target)
         return None if a is None or b is None else _relaxed(graph, a, b)
-    state = written(spark.createDataFrame([(source, 0.0, [source], True)], "node string, total double, path array<string>, fresh boolean"), "relaxed")
+    state = written(spark.createDataFrame([(source, 0.0, True)], "node string, total double, fresh boolean"), "relaxed")
     while True:
         bound = state.where(F.col("node") == target).agg(F.min("total")).first()[0]
         fresh = state.where("fresh")
         if bound is not None:
-            fresh = fresh.where(F.col("total") < bound)
-        grown = fresh.join(adjacency, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("total") + F.col("weight")).alias("total"), F.concat("path", F.array("dst")).alias("path"))
-        best = grown.groupBy("node").agg(F.min(F.struct("total", "path")).alias("new"))
-        old = state.select("node", F.struct("total", "path").alias("old"))
-        merged = old.join(best, "node", "full_outer")
-        better = F.col("old").isNull() | (F.col("new.total") < F.col("old.total"))
-        chosen = F.when(F.col("new").isNotNull() & better, F.col("new")).otherwise(F.col("old"))
-        state = written(merged.select("node", chosen.alias("s"), (F.col("new").isNotNull() & better).alias("fresh")).select("node", "s.total", "s.path", "fresh"), "relaxed")
+            fresh = fresh.where(F.col("total") <= bound)
+        grown = fresh.join(adjacency, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("total") + F.col("weight")).alias("total"))
+        best = grown.groupBy("node").agg(F.min("total").alias("new"))
+        merged = state.select("node", F.col("total").alias("old")).join(best, "node", "full_outer")
+        better = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old")))
+        state = written(merged.select("node", F.when(better, F.col("new")).otherwise(F.col("old")).alias("total"), better.alias("fresh")), "relaxed")
         if state.where("fresh").isEmpty():
-            hit = state.where(F.col("node") == target).first()
-            return (list(hit.path), hit.total) if hit else None
+            break
+    hit = state.where(F.col("node") == target).first()
+    if not hit:
+        return None
+    # the edges that paths of the least weight are made of
+    before, after = state.select(F.col("node").alias("src"), F.col("total").alias("before")), state.select(F.col("node").alias("dst"), F.col("total").alias("after"))
+    tight = adjacency.join(before, "src").join(after, "dst").where(F.col("before") + F.col("weight") == F.col("after"))
+    tight = written(tight.select(F.col("src").alias("source_id"), F.col("dst").alias("target_id"), F.lit("tight").alias("relation"), F.lit("{}").alias("metadata")), "tight")
+    return shortest_path(tight, source, target, None, "out", state.count(), local_edges=local_edges), hit.total
 
 
 def _relaxed(graph: Graph, a: int, b: int) -> tuple[list[str], float] | None:
     """Relaxation of all edges out of nodes that got nearer, until none does."""
     total = np.full(len(graph.names), np.inf)
-    came = np.full(len(graph.names), -1)
     total[a] = 0.0
     fresh = np.array([a])
     source = np.repeat(np.arange(len(graph.names)), np.diff(graph.begin))
     while len(fresh):
         at = graph.neighbours(fresh)
         offered, to = total[source[at]] + graph.weight[at], graph.to[at]
-        order = np.lexsort((source[at], offered, to))
+        order = np.lexsort((offered, to))
         first = order[np.append(True, to[order][1:] != to[order][:-1])] if len(order) else order
-        better = first[(offered[first] < total[to[first]]) & (offered[first] < total[b])]
-        total[to[better]], came[to[better]] = offered[better], source[at][better]
+        better = first[(offered[first] < total[to[first]]) & (offered[first] <= total[b])]
+        total[to[better]] = offered[better]
         fresh = to[better]
     if not np.isfinite(total[b]):
         return None
-    path = [b]
-    while path[-1] != a:
-        path.append(int(came[path[-1]]))
-    return graph.names[path[::-1]].tolist(), float(total[b])
+    # the edges that paths of the least weight are made of
+    tight = np.isfinite(total[source]) & (total[source] + graph.weight == total[graph.to])
+    begin = np.concatenate([[0], np.cumsum(np.bincount(source[tight], minlength=len(graph.names)))])
+    made_of = Graph(graph.names, begin, graph.to[tight], None)
+    return _first_path(made_of, made_of.levels(a, None), a, b), float(total[b])
 
 
 def graph_search(records: DataFrame, edges: DataFrame, query: Sequence[float], k: int = 10, expand_hops: int = 1, relation: str | None = None, where=None, *, metric: str = "cosine", direction: str = "both") -> DataFrame:
