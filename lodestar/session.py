@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import contextlib
-import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
@@ -56,11 +54,14 @@ def ship(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent, as in tests on one machine, a temporary folder
-    is made for the session and removed at exit.
+    Where the setting is absent and Spark runs in this one process, as in tests, a
+    temporary folder is made for the session and removed at exit; on a cluster the
+    setting is needed, as no folder of this machine would do there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodestar-shared-")
         atexit.register(shutil.rmtree, named, True)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -72,27 +73,35 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/lodestar-{label}-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage is cut, and the loss of an executor costs nothing."""
+    """df as a Parquet table in the shared folder: lineage is cut, and the loss of an executor costs nothing.
+
+    Shuffle files of the write go at its end; the table stays until discard().
+    """
     spark = df.sparkSession
-    release(spark)
     path = new_path(spark, label)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of jobs that are over, which it does when the driver collects its garbage.
-
-    Events in the listener bus hold the plans of such jobs, so it waits for them a little.
-    """
-    gc.collect()
-    with contextlib.suppress(Py4JJavaError):
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5000)
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lodestar_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and nothing reads any more."""
+    for table in tables:
+        remove(table.sparkSession, table._lodestar_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
