@@ -11,7 +11,12 @@
 4. Sets that share a prefix token are compared by size (length filter), by the
    positions of that token (positional filter), and by a 64-bit map of the parities
    of their hashed tokens: a bit that differs stands for a token that one alone has.
-5. Candidates are verified on their full token sets.
+   Pairs left are compared once more by a map of four times 64 bits.
+   The sets of a token that is frequent are parted in blocks, any two of which meet
+   in a task of their own.
+5. The candidates of a line are verified on full token sets from the earliest one
+   on, in rounds of growing length, until one matches: what comes after it needs no
+   look.  Each line's text is fetched once, for all rounds.
 
 A line is removed if an earlier line, by (doc_id, position), has a Jaccard of the
 threshold at least with it, whether or not that earlier line is itself removed.
@@ -19,25 +24,38 @@ threshold at least with it, whether or not that earlier line is itself removed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, written
-from .tokens import distinct_in_rows, mix64, order_in_rows, slices, words_of
+from ..session import discard, ship, written
+from .tokens import common, distinct_in_rows, freed, mix64, order_in_rows, slices, words_of
 
 THRESHOLD = 0.8
 #: Counters of token frequencies.
 COUNTERS = 1 << 21
 COUNTER_PARTS = 16
 #: Pairs looked at side by side, and rows of the prefix index in hand; the rows of one token aren't parted.
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 PREFIX_ROWS = 1 << 17
+#: A token of more occurrences in the corpus has its sets parted in blocks, one for each so many occurrences.
+HOT = 1 << 20
+BLOCKS = 32
+#: Candidates of a line that one task verifies.
+CHUNK = 4096
+#: Bits of a set's size, and of a token's place in it, in one packed integer.
+SHAPE_BITS = 26
+#: 64-bit words of the larger map of a set's parities.
+WIDE = 4
+WIDE_NAMES = [f"wide{k}" for k in range(WIDE)]
+#: By how much rounds of verification grow.
+GROWTH = 8
 #: Matches a text that has a word, as tokens.words_of() understands it.
 HAS_WORD = r"[A-Za-z0-9]|[^\x00-\x{BF}\x{2000}-\x{206F}\x{3000}-\x{303F}]"
 
@@ -56,7 +74,7 @@ def counter_of(tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sets:
-    """Distinct tokens of lines, sorted within each; name: a 64-bit sum that names a line's set (0 if empty); parity: its map."""
+    """Distinct tokens of lines, sorted within each; name: a 64-bit sum that names a line's set (0 if empty); parity: its map; wide: the larger one, by columns."""
 
     token: np.ndarray
     row: np.ndarray
@@ -64,20 +82,25 @@ class Sets:
     size: np.ndarray
     name: np.ndarray
     parity: np.ndarray
+    wide: np.ndarray
     all_tokens: np.ndarray
 
 
-def token_sets(lines: pa.Array) -> Sets:
+def token_sets(lines: pa.Array, *, with_wide: bool = False) -> Sets:
     words = words_of(lines)
     n = len(lines)
     token, row, bounds = distinct_in_rows(np.repeat(np.arange(n), np.diff(words.offsets)), words.hashes, n)
     size = np.diff(bounds)
     full = np.flatnonzero(size)
-    name, parity = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
+    name, parity, wide = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), np.zeros((WIDE, n), dtype=np.uint64)
     if len(full):
         name[full] = np.add.reduceat(mix64(token), bounds[:-1][full])
         parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), bounds[:-1][full])
-    return Sets(token, row, bounds, size, name, parity, words.hashes)
+        if with_wide:
+            bit, word = np.uint64(1) << ((token >> np.uint64(6)) & np.uint64(63)), (token >> np.uint64(12)) % np.uint64(WIDE)
+            for k in range(WIDE):
+                wide[k, full] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[:-1][full])
+    return Sets(token, row, bounds, size, name, parity, wide, words.hashes)
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -86,35 +109,37 @@ def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """One pass over docs (doc_id long, text): a row for each line with a token, and, with
-    a null line, rows of the token counters of each task, in parts."""
+    """One pass over docs (doc_id long, text, text_hash): a row for each line with a token,
+    and, with a null line, rows of the token counters of each task, in parts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, 1):
                 text, offsets = split_lines(part.column(1))
-                sets = token_sets(text)
-                total += np.bincount(counter_of(sets.all_tokens), minlength=COUNTERS)
+                sets = token_sets(text, with_wide=True)
+                np.add.at(total, counter_of(sets.all_tokens), 1)
                 full = np.flatnonzero(sets.size)
                 row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
                 yield _batch(
                     part.column(0).take(pa.array(row[full])),
+                    part.column(2).take(pa.array(row[full])),
                     (np.arange(len(row)) - offsets[:-1][row])[full].astype(np.int32),
                     sets.name[full].view(np.int64),
                     sets.size[full].astype(np.int32),
+                    *(w[full].view(np.int64) for w in sets.wide),
                     pa.nulls(len(full), pa.binary()),
                 )
         width = COUNTERS // COUNTER_PARTS
         none = pa.nulls(COUNTER_PARTS, pa.int64())
-        counts = [total[i * width : (i + 1) * width].tobytes() for i in range(COUNTER_PARTS)]
-        yield _batch(none, pa.nulls(COUNTER_PARTS, pa.int32()), none, pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(counts, pa.binary()))
+        counts = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(COUNTER_PARTS)]
+        yield _batch(none, none, pa.nulls(COUNTER_PARTS, pa.int32()), none, pa.array(range(COUNTER_PARTS), pa.int32()), *([none] * WIDE), pa.array(counts, pa.binary()))
 
-    return docs.mapInArrow(scan, "doc_id long, line int, id long, size int, counts binary")
+    return docs.mapInArrow(scan, f"doc_id long, text_hash long, line int, id long, size int, {', '.join(f'{w} long' for w in WIDE_NAMES)}, counts binary")
 
 
 def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc_id", "line", "id", "size", "counts"])
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc_id", "text_hash", "line", "id", "size", *WIDE_NAMES, "counts"])
 
 
 def _frequencies(scanned: DataFrame) -> np.ndarray:
@@ -124,15 +149,15 @@ def _frequencies(scanned: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = np.frombuffer(v.as_buffer(), dtype=np.int64)
+                counts = np.frombuffer(zlib.decompress(v.as_buffer()), dtype=np.int64)
                 total[k] = total[k] + counts if k in total else counts
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["part", "counts"])
 
     parts = scanned.where("line IS NULL").select(F.col("size").alias("part"), "counts")
     width = COUNTERS // COUNTER_PARTS
     out = np.zeros(COUNTERS, dtype=np.int64)
     for part, counts in parts.repartition(COUNTER_PARTS, "part").mapInArrow(add, "part int, counts binary").toLocalIterator():
-        out[part * width : (part + 1) * width] += np.frombuffer(counts, dtype=np.int64)
+        out[part * width : (part + 1) * width] += np.frombuffer(zlib.decompress(counts), dtype=np.int64)
     return out
 
 
@@ -141,16 +166,26 @@ def rank_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(64 * np.log2(np.maximum(counts, 1))), 4095).astype(np.uint16)
 
 
+def blocks_of(counts: np.ndarray) -> np.ndarray:
+    """Blocks of the sets of tokens with that many occurrences."""
+    return np.minimum(np.ceil(counts / HOT), BLOCKS).astype(np.int64)
+
+
 def _prefixes(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(token, id, size, place, parity) of the prefix tokens of every line; place: of the token in the set, rarest first."""
-    # 2 bytes a counter, whatever the size of the corpus
-    shared = docs.sparkSession.sparkContext.broadcast(rank_of(counts))
+    """(token, shape, id, parity) of the prefix tokens of every line.
+
+    shape holds, from the highest bits on, the part, the set's size, and the token's
+    place in the set, rarest first.  part: the two blocks of sets that meet,
+    first * BLOCKS + second; 0 for tokens that aren't parted.
+    """
+    # 3 bytes a counter, whatever the size of the corpus
+    shared = docs.sparkSession.sparkContext.broadcast((rank_of(counts), blocks_of(counts).astype(np.uint8)))
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_by_counter = shared.value
-        for batch in batches:
-            for part in slices(batch, 1):
-                text, _ = split_lines(part.column(1))
+        rank_by_counter, blocks_by_counter = shared.value
+        for batch in freed(batches):
+            for piece in slices(batch, 1):
+                text, _ = split_lines(piece.column(1))
                 sets = token_sets(text)
                 # the same set within a slice goes out once
                 _, first = np.unique(sets.name, return_index=True)
@@ -165,25 +200,38 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                 begin = np.flatnonzero(first_of_row)
                 place = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
                 chosen = np.flatnonzero((place < prefix_length(sets.size, threshold)[row]) & (rank[order] > 0))
-                owner = row[chosen]
+                owner, token, place = row[chosen], token[order][chosen], place[chosen]
+                blocks = np.maximum(blocks_by_counter[counter_of(token)].astype(np.int64), 1)
+                mine = (mix64(sets.name[owner]) % blocks.astype(np.uint64)).astype(np.int64)
+                # a set meets those of every block, its own too
+                again = np.repeat(np.arange(len(token)), blocks)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                part = np.minimum(mine[again], other) * BLOCKS + np.maximum(mine[again], other)
+                owner = owner[again]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[order][chosen].view(np.int64)), pa.array(sets.name[owner].view(np.int64)), pa.array(sets.size[owner].astype(np.int32)), pa.array(place[chosen].astype(np.int32)), pa.array(sets.parity[owner].view(np.int64))],
-                    names=["token", "id", "size", "place", "parity"],
+                    [pa.array(token[again].view(np.int64)), pa.array(((part << SHAPE_BITS) | sets.size[owner]) << SHAPE_BITS | place[again]), pa.array(sets.name[owner].view(np.int64)), pa.array(sets.parity[owner].view(np.int64))],
+                    names=["token", "shape", "id", "parity"],
                 )
 
-    return docs.mapInArrow(prefix, "token long, id long, size int, place int, parity long")
+    return docs.mapInArrow(prefix, "token long, shape long, id long, parity long")
 
 
-def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
+def _candidates(prefixes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
     """(x, y) of sets that share a prefix token and pass the filters, x the smaller one; a pair comes once for each such token."""
-    names = ["token", "size", "id", "place", "parity"]
+    names = ["token", "shape", "id", "parity"]
+    shared = prefixes.sparkSession.sparkContext.broadcast(blocks_of(counts).astype(np.uint8))
 
-    def pairs_of(token: np.ndarray, size: np.ndarray, name: np.ndarray, place: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (token, size, id)."""
+    def pairs_of(token: np.ndarray, shape: np.ndarray, name: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (token, shape, id)."""
         fresh = np.ones(len(token), dtype=bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (name[1:] != name[:-1])  # lines of the same set are one
-        token, size, name, place, parity = (c[fresh] for c in (token, size, name, place, parity))
-        group = np.cumsum(np.append(False, token[1:] != token[:-1]))
+        fresh[1:] = (token[1:] != token[:-1]) | (shape[1:] != shape[:-1]) | (name[1:] != name[:-1])  # lines of the same set are one
+        token, shape, name, parity = (c[fresh] for c in (token, shape, name, parity))
+        low = (1 << SHAPE_BITS) - 1
+        part, size, place = shape >> (2 * SHAPE_BITS), (shape >> SHAPE_BITS) & low, shape & low
+        blocks = np.maximum(shared.value[counter_of(token.view(np.uint64))].astype(np.uint64), np.uint64(1))
+        block = (mix64(name.view(np.uint64)) % blocks).astype(np.int64)
+        apart = part // BLOCKS != part % BLOCKS  # two blocks, of which only sets of different ones meet here
+        group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
         span = np.int64(1) << 32
         longest = np.floor(size / threshold + 1e-9).astype(np.int64)
         end = np.searchsorted(group * span + size, group * span + longest, side="right")
@@ -199,6 +247,7 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
             overlap = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
             good = np.minimum(size[i] - place[i], size[j] - place[j]) >= overlap
             good &= np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= both - 2 * overlap
+            good &= ~apart[i] | (block[i] != block[j])
             i, j = i[good], j[good]
             yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], names=["x", "y"])
             at = stop
@@ -206,56 +255,91 @@ def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         rows = 0
-        for batch in batches:
+        for batch in freed(batches):
             if not batch.num_rows:
                 continue
-            held.append([batch.column(n).to_numpy().astype(np.int64) for n in names])
+            held.append([batch.column(n).to_numpy() for n in names])
             rows += batch.num_rows
             if rows < PREFIX_ROWS:
                 continue
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            # the last token may go on in the next batch
-            edge = int(np.searchsorted(columns[0], columns[0][-1]))
+            # the last group may go on in the next batch
+            part = columns[1] >> (2 * SHAPE_BITS)
+            last = np.flatnonzero((columns[0] != columns[0][-1]) | (part != part[-1]))
+            edge = int(last[-1]) + 1 if len(last) else 0
             if edge:
                 yield from pairs_of(*(c[:edge] for c in columns))
             held, rows = [[c[edge:] for c in columns]], len(columns[0]) - edge
         if held:
             yield from pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    together = prefixes.select(*names).repartition("token").sortWithinPartitions("token", "size", "id")
+    together = prefixes.select(*names).repartition("token", F.shiftright("shape", 2 * SHAPE_BITS)).sortWithinPartitions("token", "shape", "id")
     return together.mapInArrow(join, "x long, y long")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
-    """rows: (x, y, kind, text), sorted by x and kind: the text of x itself (kind 0), then those of its candidates."""
+    """rows: (late, rank, text), sorted by late: the late line's own text (rank 0), then its candidates'; gives those that match."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, mine = None, np.zeros(0, dtype=np.uint64)
-        for batch in batches:
-            for part in slices(batch, 3):
-                sets = token_sets(part.column(3))
-                xs, ys, kinds = (part.column(i).to_pylist() for i in range(3))
-                names = sets.name.view(np.int64).tolist()
-                out = []
-                for i in range(part.num_rows):
-                    own = sets.token[sets.bounds[i] : sets.bounds[i + 1]]
-                    # of a doc_id with several rows, a line of another row than the one meant may come along
-                    if names[i] != (xs[i] if kinds[i] == 0 else ys[i]):
-                        continue
-                    if kinds[i] == 0:
-                        current, mine = xs[i], own.copy()
-                        continue
-                    if current != xs[i]:
-                        raise ValueError("a candidate without the text it is compared with")
-                    same = len(np.intersect1d(mine, own, assume_unique=True))
-                    jaccard = same / (len(mine) + len(own) - same)
-                    if jaccard >= threshold - 1e-12:
-                        out.append((xs[i], ys[i], jaccard))
-                if out:
-                    x, y, j = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(j, pa.float64())], names=["x", "y", "jaccard"])
-
-    return rows.mapInArrow(check, "x long, y long, jaccard double")
+        carried = None  # the own text of the line that the last slice ended in
+        for batch in freed(batches):
+            for part in slices(batch, 2):
+                late, rank = (part.column(i).to_numpy() for i in range(2))
+                if carried is not None:
+                    late, rank = np.append(carried[0], late), np.append(np.int32(0), rank)
+                    text = pa.concat_arrays([carried[1], part.column(2)])
+                else:
+                    text = part.column(2)
+                sets = token_sets(text)
+                own = np.flatnonzero(rank == 0)
+                carried = (late[own[-1]], text.slice(int(own[-1]), 1))
+                other = np.flatnonzero(rank > 0)
+                mine = own[np.searchsorted(own, other) - 1]
+                if (late[mine] != late[other]).any():
+                    raise ValueError("a candidate without the line it is compared with")
+                same = common(sets.token, sets.bounds, other, mine)
+                jaccard = same / np.maximum(sets.size[mine] + sets.size[other] - same, 1)
+                hit = jaccard >= threshold - 1e-12
+                yield pa.RecordBatch.from_arrays([pa.array(late[other][hit]), pa.array(rank[other][hit]), pa.array(jaccard[hit])], names=["late", "rank", "jaccard"])
+
+    return rows.mapInArrow(check, "late long, rank int, jaccard double")
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the lines in pairs, once for each row of their doc_id that has them; rows that share a doc_id may offer other lines, so a text's set tells."""
+    wanted = pairs.select(F.col("late").alias("id"), F.col("late_first").alias("first")).union(pairs.select("early", "early_first")).distinct()
+    by_doc = wanted.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("wanted"))
+    offered = by_doc.join(docs, F.col("in_doc") == F.col("doc_id")).select(F.inline(F.expr("transform(wanted, w -> struct(w.id AS id, try_element_at(split(text, '\n', -1), w.line + 1) AS text))"))).where("text IS NOT NULL")
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in freed(batches):
+            for part in slices(batch, 1):
+                yield part.filter(pa.array(token_sets(part.column(1)).name.view(np.int64) == part.column(0).to_numpy()))
+
+    return offered.mapInArrow(named, "id long, text string")
+
+
+def _earliest(docs: DataFrame, pairs: DataFrame, threshold: float) -> list[DataFrame]:
+    """Tables (late, match, jaccard) of each line's earliest match, a table a round."""
+    texts = written(_texts(docs, pairs), "line-texts")
+    longest = pairs.agg(F.max("rank")).first()[0] or 0
+    found: list[DataFrame] = []
+    low, high = 0, 1
+    while low < longest:
+        now = pairs.where((F.col("rank") > low) & (F.col("rank") <= high)).select("late", "rank", "early", F.floor(F.col("rank") / CHUNK).alias("chunk"))
+        for done in found:
+            now = now.join(done.select("late"), "late", "left_anti")
+        now = written(now, "line-round")
+        own = now.select("late", "chunk").distinct().join(texts, F.col("late") == F.col("id")).select("late", "chunk", F.lit(0).alias("rank"), "text")
+        others = now.join(texts, F.col("early") == F.col("id")).select("late", "chunk", "rank", "text")
+        ready = own.union(others).repartition("late", "chunk").sortWithinPartitions("late", "chunk", "rank").select("late", "rank", "text")
+        best = _verify(ready, threshold).groupBy("late").agg(F.min(F.struct("rank", "jaccard")).alias("best")).select("late", "best.*")
+        named = best.join(pairs.select("late", "rank", F.col("early_first").alias("match")), ["late", "rank"]).select("late", "match", "jaccard")
+        found.append(written(named, "line-matches"))
+        discard(now)
+        low, high = high, high * GROWTH
+    discard(texts)
+    return found
 
 
 def later_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -270,37 +354,46 @@ def later_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     stand at the same place: neither is later than the other.  An empty table gives
     no rows.  Other columns of docs are ignored.
     """
+    return _later(docs, threshold).drop("text_hash")
+
+
+def _later(docs: DataFrame, threshold: float) -> DataFrame:
+    """As later_lines(), with the text_hash of the row that has the line."""
     ship(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    scanned = written(_scan(docs), "lines")
+    scanned = written(_scan(docs.withColumn("text_hash", F.xxhash64("text"))), "lines")
     lines = scanned.where("line IS NOT NULL").drop("counts")
-    sets = written(lines.groupBy("id", "size").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("held")), "line-sets")
-    candidates = _candidates(_prefixes(docs, _frequencies(scanned), threshold), threshold).distinct()
-    firsts = sets.select("id", "first")
-    pairs = written(
-        candidates.join(firsts.select(F.col("id").alias("x"), F.col("first").alias("x_first")), "x").join(firsts.select(F.col("id").alias("y"), F.col("first").alias("y_first")), "y"),
-        "line-pairs",
-    )
-    wanted = pairs.select(F.col("x").alias("id"), F.col("x_first").alias("first")).union(pairs.select("y", "y_first")).distinct()
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("wanted"))
-    found = by_doc.join(docs, F.col("in_doc") == F.col("doc_id")).select(F.inline(F.expr("transform(wanted, w -> struct(w.id AS id, element_at(split(text, '\n', -1), w.line + 1) AS text))"))).where("text IS NOT NULL")
-    texts = written(found, "line-texts")
-    own = pairs.select("x").distinct().join(texts, F.col("x") == F.col("id")).select("x", F.lit(None).cast("long").alias("y"), F.lit(0).alias("kind"), "text")
-    others = pairs.select("x", "y").join(texts, F.col("y") == F.col("id")).select("x", "y", F.lit(1).alias("kind"), "text")
-    verified = written(_verify(own.union(others).repartition("x").sortWithinPartitions("x", "kind", "y"), threshold), "line-matches")
-    matched = verified.join(pairs, ["x", "y"])
-    both = matched.select(F.col("x").alias("id"), F.col("y_first").alias("match"), "jaccard").union(matched.select("y", "x_first", "jaccard"))
-    nearest = both.groupBy("id").agg(F.min(F.struct("match", "jaccard")).alias("near"))
+    sets = written(lines.groupBy("id", "size").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("held"), *(F.first(w).alias(w) for w in WIDE_NAMES)), "line-sets")
+    counts = _frequencies(scanned)
+    candidates = written(_candidates(_prefixes(docs, counts, threshold), counts, threshold).distinct(), "line-candidates")
+    side = lambda s: sets.select(F.col("id").alias(s), F.col("first").alias(f"{s}_first"), F.col("size").alias(f"{s}_size"), *(F.col(w).alias(f"{s}_{w}") for w in WIDE_NAMES))
+    placed = candidates.join(side("x"), "x").join(side("y"), "y")
+    both = F.col("x_size") + F.col("y_size")
+    apart = sum(F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in WIDE_NAMES)
+    placed = placed.where(apart <= both - 2 * F.ceil(threshold / (1 + threshold) * both - 1e-9))
+    ahead = F.col("x_first") < F.col("y_first")
+    placed = placed.select(*(F.when(ahead, b).otherwise(a).alias(name) for name, a, b in (("late", F.col("x"), F.col("y")), ("late_first", F.col("x_first"), F.col("y_first")), ("early", F.col("y"), F.col("x")), ("early_first", F.col("y_first"), F.col("x_first")))))
+    # sets whose firsts stand at one place, of rows that share a doc_id, aren't later than one another
+    placed = placed.where("early_first < late_first").withColumn("rank", F.row_number().over(Window.partitionBy("late").orderBy("early_first", "early")))
+    pairs = written(placed, "line-pairs")
+    discard(candidates)
+    nearest = None
+    for table in _earliest(docs, pairs, threshold):
+        nearest = table if nearest is None else nearest.union(table)
+    discard(pairs)
+    if nearest is None:
+        nearest = sets.where("false").select(F.col("id").alias("late"), F.col("first").alias("match"), F.lit(1.0).alias("jaccard"))
+    nearest = nearest.select(F.col("late").alias("id"), F.struct("match", "jaccard").alias("near"))
     earliest = (
         sets.join(nearest, "id", "left")
-        .where((F.col("held") > 1) | (F.col("near.match") < F.col("first")))
-        .withColumn("best", F.when(F.col("near.match") < F.col("first"), F.col("near")).otherwise(F.struct(F.col("first").alias("match"), F.lit(1.0).alias("jaccard"))))
+        .where((F.col("held") > 1) | F.col("near").isNotNull())
+        .withColumn("best", F.coalesce("near", F.struct(F.col("first").alias("match"), F.lit(1.0).alias("jaccard"))))
         .select("id", "best")
     )
     return (
         lines.join(earliest, "id")
         .where(F.struct("doc_id", "line") > F.col("best.match"))
-        .select("doc_id", "line", F.col("best.match.doc_id").alias("match_doc_id"), F.col("best.match.line").alias("match_line"), F.col("best.jaccard").alias("jaccard"))
+        .select("doc_id", "text_hash", "line", F.col("best.match.doc_id").alias("match_doc_id"), F.col("best.match.line").alias("match_line"), F.col("best.jaccard").alias("jaccard"))
     )
 
 
@@ -309,13 +402,15 @@ def remove_later_lines(docs: DataFrame, *, threshold: float = THRESHOLD) -> Data
 
     A document that had a word and has none left goes.  Documents of which nothing
     is removed (with null or empty texts, or without a doc_id, too) are untouched;
-    n_chars, if docs has it, follows the text.
+    n_chars, if docs has it, follows the text.  Of rows that share a doc_id each loses
+    its own lines alone.  No column's name of docs clashes with those used inside.
     """
-    gone = later_lines(docs, threshold=threshold).groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set("line").alias("__gone"))
-    kept = F.expr("array_join(filter(split(text, '\n', -1), (x, i) -> NOT array_contains(__gone, i)), '\n')")
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left")
-    changed = F.col("__gone").isNotNull()
-    text = F.when(changed, kept).otherwise(F.col("text"))
-    out = joined.withColumn("__text", text).where(~changed | F.col("__text").rlike(HAS_WORD))
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(changed, F.length("__text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    gone = _later(docs, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("lines"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = whole.join(gone, (F.col("row.doc_id").cast("long") == F.col("doc_id")) & (F.xxhash64("row.text") == F.col("text_hash")), "left")
+    kept = F.expr("array_join(filter(split(row.text, '\n', -1), (x, i) -> NOT array_contains(lines, i)), '\n')")
+    changed = F.col("lines").isNotNull()
+    out = joined.withColumn("kept", F.when(changed, kept)).where(~changed | F.col("kept").rlike(HAS_WORD))
+    follow = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    columns = [F.when(changed, follow[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"row.`{c}`")).alias(c) if c in follow else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return out.select(*columns)

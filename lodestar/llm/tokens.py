@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 #: Bytes of text that are worked on at once; bounds the memory of a Python
 #: worker whatever the size of Spark's Arrow batches.  A longer single text is
 #: still taken whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _SPLITMIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -253,3 +253,38 @@ def distinct_in_rows(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np
     first[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
     hashes, row = hashes[first], row[first]
     return hashes, row, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+
+
+#: Values that are looked up at once when rows are compared.
+LOOKUPS = 1 << 20
+
+
+def common(values: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values rows a and b have in common, pair by pair; values are distinct and sorted within each row."""
+    out = np.zeros(len(a), dtype=np.int64)
+    if not len(a) or not len(values):
+        return out
+    size = np.diff(offsets)
+    kinds, name = np.unique(values, return_inverse=True)
+    span = np.int64(len(kinds))
+    place = np.repeat(np.arange(len(size)), size) * span + name
+    edge = np.cumsum(size[a])
+    at = 0
+    while at < len(a):
+        # as many pairs as make about LOOKUPS look-ups, one at least
+        stop = max(at + 1, int(np.searchsorted(edge, (edge[at - 1] if at else 0) + LOOKUPS, side="right")))
+        count = size[a[at:stop]]
+        end = np.cumsum(count)
+        look = np.repeat(offsets[a[at:stop]] - (end - count), count) + np.arange(end[-1])
+        wanted = np.repeat(b[at:stop], count) * span + name[look]
+        found = np.searchsorted(place, wanted)
+        hits = np.concatenate([[0], np.cumsum(place[np.minimum(found, len(place) - 1)] == wanted)])
+        out[at:stop] = hits[end] - hits[end - count]
+        at = stop
+    return out
+
+
+def freed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, after which the worker gives back what Arrow's pool keeps in reserve."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
