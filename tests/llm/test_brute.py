@@ -64,7 +64,7 @@ def test_quotas_follow_highest_quotients():
 # 2
 
 
-def test_lines(spark):
+def test_lines(spark, monkeypatch):
     rng = random.Random(2)
     base = [sentence(rng, 12) for _ in range(40)]
 
@@ -85,6 +85,10 @@ def test_lines(spark):
                 break
     got = {(r.doc_id, r.line): (r.match_doc_id, r.match_line, pytest.approx(r.jaccard)) for r in linededup.later_lines(docs).collect()}
     assert got == want and want
+    monkeypatch.setattr(linededup, "blocks_of", lambda counts: np.minimum(np.ceil(counts / 40), linededup.BLOCKS).astype(np.int64))
+    monkeypatch.setattr(linededup, "GROWTH", 2)
+    again = {(r.doc_id, r.line): (r.match_doc_id, r.match_line, pytest.approx(r.jaccard)) for r in linededup.later_lines(docs).collect()}
+    assert again == want
     left = {r.doc_id: r for r in linededup.remove_later_lines(docs).collect()}
     assert left[0].text is None and left[1].text == "" and left[3].text == "one\ntwo" and left[3].n_chars == 7
     for d, t in enumerate(texts[4:], 4):
@@ -345,15 +349,21 @@ def test_near_documents(spark):
     docs = docs_of(spark, texts)
     sets = {i: grams(t) for i, t in enumerate(texts) if grams(t)}
     want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.5 * len(sets[a] | sets[b])}
-    got = set()
-    for r in jaccard.jaccard_join(docs).collect():
-        a, b = sets[r.doc_a], sets[r.doc_b]
-        assert r.jaccard == pytest.approx(len(a & b) / len(a | b)) and r.jaccard >= 0.5
-        left = [i for i in r.doc_ids if sets[i] == a]
-        right = [i for i in r.doc_ids if sets[i] == b]
-        got |= {tuple(sorted(p)) for p in itertools.product(left, right) if p[0] != p[1]} | set(itertools.combinations(left, 2)) | set(itertools.combinations(right, 2))
+    members, verified = jaccard.near_groups(docs)
+    rep = {r.doc_id: r.rep for r in members.collect()}
+    assert rep == {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    near = {(r.a, r.b): r.jaccard for r in verified.collect()}
+    for (a, b), found in near.items():
+        assert found == pytest.approx(len(sets[a] & sets[b]) / len(sets[a] | sets[b])) and found >= 0.5
+    got = {(a, b) for a, b in itertools.combinations(sets, 2) if rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in near}
     exact = {(a, b) for a, b in want if sets[a] == sets[b]}
     assert got <= want and exact <= got and len(got) >= 0.95 * len(want)
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a, b in got:
+            root[a] = root[b] = min(root[a], root[b])
+    links = {i: sum(i in p for p in got) for i in sets}
+    assert rows(jaccard.jaccard_join(docs)) == sorted((i, root[i], sum(sets[j] == sets[i] for j in sets) - 1, links[i]) for i in sets if links[i])
     kept = {r.doc_id for r in jaccard.keep_one(docs).collect()}
     assert {0, 1, 2} <= kept and 3 not in kept
     assert all(any(i in kept for i in group) for group in [range(4 + 5 * n, 9 + 5 * n) for n in range(25)])
