@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .tokens import mix64, slices
+from .tokens import freed, mix64, slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -31,7 +31,7 @@ UNKNOWN = "und"
 
 _FOLD = np.arange(128, dtype=np.uint32)
 _FOLD[[c for c in range(128) if not chr(c).isalpha()]] = GAP
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: The share of texts expected in no known language.
 UNKNOWN_PRIOR = 1e-3
 
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model, *, keep: set[str] | None = None) ->
     good = np.array([x != UNKNOWN and (keep is None or x in keep) for x in names])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, 1, SLICE):
                 best, confidence, _ = decide(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names[i] for i in best], pa.string()), pa.array(confidence), pa.array(good[best])], names=["doc_id", "detected", "confidence", "accepted"])
@@ -185,16 +185,27 @@ def identify(docs: DataFrame, model: Model, *, keep: set[str] | None = None) ->
     return docs.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, detected string, confidence double, accepted boolean")
 
 
-def accept(docs: DataFrame, model: Model, *, keep: set[str] | None = None) -> DataFrame:
-    """The rows of docs that identify() accepts, with all their columns as they are."""
+def accept(docs: DataFrame, model: Model, *, keep: set[str] | None = None, label: str | None = None, certain: float = 0.99) -> DataFrame:
+    """The rows of docs that identify() accepts, with all their columns as they are.
+
+    label: a column that says the language; a row goes, too, where the text's language
+    is another one with a posterior of certain at least.  A null or blank label, or
+    one that the model doesn't know, contradicts nothing.
+    """
     decide, names = _decider(docs, model)
     good = np.array([x != UNKNOWN and (keep is None or x in keep) for x in names])
+    number = {x: i for i, x in enumerate(model.languages)}
     at = docs.columns.index("text")
+    stated = docs.columns.index(label) if label else None
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, at, SLICE):
-                best, _, _ = decide(part.column(at))
-                yield part.filter(pa.array(good[best]))
+                best, confidence, _ = decide(part.column(at))
+                kept = good[best]
+                if stated is not None:
+                    own = np.array([number.get(x, -1) for x in part.column(stated).to_pylist()])
+                    kept &= (own < 0) | (own == best) | (confidence < certain)
+                yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(select, docs.schema)

@@ -30,8 +30,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import UNKNOWN_BYTES, input_bytes, new_path, ship
-from .tokens import Words, mix64, multipliers, slices, windows, words_of
+from ..session import new_path, ship
+from .tokens import Words, freed, mix64, multipliers, slices, windows, words_of
 
 ORDER = 2
 #: Levels of the logarithmic scale: counts 1, 2-3, 4-7, ...
@@ -39,7 +39,7 @@ BASE = 2.0
 BITS_PER_ENTRY = 12
 PROBES = 5
 BROADCAST_BYTES = 64 << 20
-SHARD_INPUT_BYTES = 8 << 20
+SHARD_INPUT_BYTES = 16 << 20
 BUFFER_NGRAMS = 3_000_000
 #: Text scored at once: the more, the fewer distinct n-grams are probed.
 SCORE_BYTES = 4 << 20
@@ -157,7 +157,7 @@ def _packed(docs: DataFrame, order: int, shards: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, total = [], 0, 0
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, 0):
                 words = words_of(part.column(0))
                 total += len(words.hashes)
@@ -177,14 +177,13 @@ def train(docs: DataFrame, *, order: int = ORDER, broadcast_bytes: int = BROADCA
     """Counts the n-grams of all texts and builds the filter.  Null texts count as empty."""
     spark = docs.sparkSession
     ship(spark)
-    size = input_bytes(docs.select("text"))
-    if size >= UNKNOWN_BYTES:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # the texts' bytes, not those of their files, so that scores don't depend on how a table is stored
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = 1 << max(4, (size // SHARD_INPUT_BYTES).bit_length())
     folder = new_path(spark, "filter")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by shard."""
+        """A task is given one shard."""
         out = []
         current, hashes, counts, words = None, [], [], 0
 
@@ -199,7 +198,7 @@ def train(docs: DataFrame, *, order: int = ORDER, broadcast_bytes: int = BROADCA
             _write_file(path, bits)
             out.append((current, path, bits.nbytes, int(level_of(summed).sum()), len(first), words))
 
-        for batch in batches:
+        for batch in freed(batches):
             for shard, packed, count, n in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if shard != current:
                     if current is not None:
@@ -214,7 +213,7 @@ def train(docs: DataFrame, *, order: int = ORDER, broadcast_bytes: int = BROADCA
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "path", "bytes", "entries", "ngrams", "words"])
 
-    built = _packed(docs, order, shards).repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, path string, bytes long, entries long, ngrams long, words long")
+    built = _packed(docs, order, shards).repartitionById(shards, F.col("shard")).mapInArrow(build, "shard int, path string, bytes long, entries long, ngrams long, words long")
     rows = {r.shard: r for r in built.collect()}  # a row a shard
     tokens = sum(r.words for r in rows.values())
     size = sum(r.bytes for r in rows.values())
@@ -255,7 +254,7 @@ def score(docs: DataFrame, model: Model, *, interpolation: float = INTERPOLATION
         return count_of(level)[back]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, 1, SCORE_BYTES):
                 words = words_of(part.column(1))
                 n_words = np.diff(words.offsets)

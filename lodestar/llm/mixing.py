@@ -2,15 +2,16 @@
 
 The tokens of a source, its documents in a seeded order, are cut into blocks of
 equal size; seats (blocks) go to the sources by the highest quotients
-weight / (2 k + 1).  As the method is house-monotone, the first M seats are the
-quota of shard 0, the next M that of shard 1, and so on: each shard follows the
-target weights by itself.  Which blocks of a source fill its seats is a second
-seeded order.
-
-Only (source, tokens) totals reach the driver, one row a source.  The running
-token count inside a source is taken in two levels, first over buckets of the
-seeded order and then inside a bucket, so that no source, however hot, has to
-pass through a single task.
+weight / (2 k + 1), up to a stated share of all blocks; a source that has no block
+left drops out and the others go on.  As the method is house-monotone, the first
+seats are the quota of shard 0, the next ones that of shard 1, and so on: each shard
+follows the target weights by itself.  Which blocks of a source fill its seats is a
+second seeded order.
+
+Only totals reach the driver, one row a source.  The running token count inside a
+source, and the rank of a block in the second order, are taken in two levels, first
+over buckets of the order and then inside a bucket, so that no source, however hot,
+has to pass through a single task.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ..session import written
 
 #: Leading hexadecimal digits of the seeded order that make a bucket's name.
 BUCKET_DIGITS = 3
+#: The share of all blocks that is selected.
+KEEP = 0.8
 
 
 def token_count(text: Column) -> Column:
@@ -96,6 +99,10 @@ def _first(want: int, names: list[str], weights: dict[str, int], blocks: dict[st
     return seats((math.inf, ""))
 
 
+def _key(seed: str, *parts: Column | str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), *parts))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict[str, int] | None = None,
@@ -104,19 +111,22 @@ def mix_sources(
     shards: int = 8,
     alpha: float = 0.7,
     seed: str = "17",
-    keep: float | None = None,
+    keep: float | None = KEEP,
 ) -> DataFrame:
     """(doc_id, source, n_tokens, block, shard) of every document selected.
 
     A document belongs to the block of its source in which its first token
     lies.  weights: integer weights by source; where absent, tokens ** alpha.
-    keep: the share of the blocks of all weighted sources to select, whichever of them
-    run out; where absent, the selection ends with the first that does (see quotas()).
+    keep: the share of the blocks of all weighted sources to select, rounded up,
+    whichever of them run out; where None, the selection ends with the first that
+    does, at a multiple of shards, so that fewer blocks than shards give nothing
+    (see quotas()).
 
     A null source counts as the source "".  Rows without a doc_id are left out.
     A document without tokens (null or empty text) weighs nothing and goes with
-    the block it falls in.  Rows that repeat are counted and kept each.  An empty
-    table gives no rows.  Other columns of docs are ignored, whatever their names.
+    the block it falls in.  Rows that share source and doc_id are counted each but
+    fall into the same block, that of the first of them.  An empty table gives no
+    rows.  Other columns of docs are ignored, whatever their names.
     """
     spark = docs.sparkSession
     # a written table, since the counts are read three times and cost a scan of all texts
@@ -125,7 +135,7 @@ def mix_sources(
             "doc_id",
             F.coalesce(F.col("source"), F.lit("")).alias("source"),
             token_count(F.col("text")).alias("n_tokens"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))).alias("place"),
+            _key(seed, F.col("doc_id").cast("string")).alias("place"),
         ),
         "mix",
     )
@@ -133,18 +143,22 @@ def mix_sources(
     sums = rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("n_tokens").alias("bucket_tokens"))
     order = Window.partitionBy("source").orderBy("bucket")
     before = sums.select("source", "bucket", (F.sum("bucket_tokens").over(order) - F.col("bucket_tokens")).alias("bucket_before"))
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    # up to a document's first row: all up to its last one, less its own
+    inside = F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("place", "doc_id")) - F.sum("n_tokens").over(Window.partitionBy("source", "bucket", "place", "doc_id"))
     cut = (
         rows.withColumn("bucket", bucket)
-        .withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
+        .withColumn("inside", inside)
         .join(before, ["source", "bucket"])
         .select("doc_id", "source", "n_tokens", F.floor((F.col("bucket_before") + F.col("inside")) / F.lit(block_tokens)).cast("bigint").alias("block"))
     )
-    # blocks in which a document starts, numbered in their seeded order
-    seeded = F.md5(F.concat(F.lit(f"{seed}:"), "source", F.lit(":"), F.col("block").cast("string")))
-    blocks = cut.select("source", "block").distinct().withColumn("seat", F.row_number().over(Window.partitionBy("source").orderBy(seeded)) - 1)
-    blocks = written(blocks, "mix-blocks")
-    has = {r[0]: r[1] for r in blocks.groupBy("source").count().collect()}
+    # blocks in which a document starts, ranked in their seeded order
+    named = written(cut.select("source", "block").distinct().withColumn("key", _key(seed, "source", F.lit(":"), F.col("block").cast("string"))), "mix-blocks")
+    key_bucket = F.substring("key", 1, BUCKET_DIGITS)
+    held = named.groupBy("source", key_bucket.alias("bucket")).agg(F.count("*").alias("held"))
+    ahead = held.select("source", "bucket", (F.sum("held").over(order) - F.col("held")).alias("ahead"))
+    rank = F.row_number().over(Window.partitionBy("source", "bucket").orderBy("key", "block"))
+    blocks = named.withColumn("bucket", key_bucket).withColumn("rank", rank).join(ahead, ["source", "bucket"]).select("source", "block", (F.col("ahead") + F.col("rank") - 1).alias("seat"))
+    has = {r[0]: r[1] for r in named.groupBy("source").count().collect()}
     totals = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("n_tokens")).collect()}
     weights = weights if weights is not None else integer_weights(totals, alpha)
     total = None if keep is None else math.ceil(keep * sum(n for s, n in has.items() if weights.get(s, 0) > 0))
@@ -156,7 +170,7 @@ def mix_sources(
     return cut.join(chosen.select("source", "block", "shard"), ["source", "block"]).select("doc_id", "source", "n_tokens", "block", "shard")
 
 
-def oracle(block_tokens: int = 1024, shards: int = 8, alpha: float = 0.7, seed: str = "17") -> str:
+def oracle(block_tokens: int = 1024, shards: int = 8, alpha: float = 0.7, seed: str = "17", keep: float = KEEP) -> str:
     """The same in SQL, over the view documents."""
     return f"""
 WITH rows AS (
@@ -165,20 +179,14 @@ WITH rows AS (
   FROM documents WHERE doc_id IS NOT NULL),
 cut AS (
   SELECT doc_id, source, n_tokens,
-         CAST(floor(coalesce(sum(n_tokens) OVER (PARTITION BY source ORDER BY place, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {block_tokens}) AS BIGINT) AS block
+         CAST(floor((sum(n_tokens) OVER (PARTITION BY source ORDER BY place, doc_id) - sum(n_tokens) OVER (PARTITION BY source, place, doc_id)) / {block_tokens}) AS BIGINT) AS block
   FROM rows),
 blocks AS (
   SELECT source, block, row_number() OVER (PARTITION BY source ORDER BY md5('{seed}:' || source || ':' || CAST(block AS VARCHAR))) - 1 AS seat
   FROM (SELECT DISTINCT source, block FROM cut)),
 totals AS (SELECT source, sum(n_tokens) AS tokens FROM rows GROUP BY source HAVING sum(n_tokens) > 0),
 weights AS (SELECT source, greatest(1, CAST(floor(1000000 * pow(tokens / (SELECT max(tokens) FROM totals), {alpha}) + 0.5) AS BIGINT)) AS weight FROM totals),
-seats AS (
-  SELECT source, seat, weight / (2.0 * seat + 1)::DOUBLE AS quotient FROM blocks JOIN weights USING (source)
-  UNION ALL
-  SELECT source, max(seat) + 1, max(weight) / (2.0 * (max(seat) + 1) + 1)::DOUBLE FROM blocks JOIN weights USING (source) GROUP BY source),
-ranked AS (SELECT source, seat, row_number() OVER (ORDER BY quotient DESC, source) - 1 AS place FROM seats),
-house AS (SELECT min(place) AS house FROM (SELECT max_by(place, seat) AS place FROM ranked GROUP BY source)),
-chosen AS (
-  SELECT source, seat, CAST(least(place // greatest(1, house // {shards}), {shards} - 1) AS INTEGER) AS shard
-  FROM ranked, house WHERE place < house AND house >= {shards} AND place < (house // {shards}) * {shards})
+ranked AS (SELECT source, seat, row_number() OVER (ORDER BY weight / (2.0 * seat + 1)::DOUBLE DESC, source) AS place FROM blocks JOIN weights USING (source)),
+house AS (SELECT CAST(ceil(CAST({keep} AS DOUBLE) * count(*)) AS BIGINT) AS house FROM ranked),
+chosen AS (SELECT source, seat, CAST((place * {shards} + house - 1) // house - 1 AS INTEGER) AS shard FROM ranked, house WHERE place <= house)
 SELECT doc_id, source, n_tokens, block, shard FROM cut JOIN blocks USING (source, block) JOIN chosen USING (source, seat)"""

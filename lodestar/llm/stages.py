@@ -9,8 +9,8 @@ from . import decontaminate, jaccard, langid, linededup, mixing
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is one of those in lang; see langid.identify()."""
-    return langid.accept(docs, langid.train(docs))
+    """The documents in a language that lang names, without those whose text says with certainty another than their own lang; see langid.accept()."""
+    return langid.accept(docs, langid.train(docs), label="lang")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,14 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture of sources selects, with their block and shard; see mixing.mix_sources()."""
-    chosen = mixing.mix_sources(docs).select(F.col("doc_id").alias("__chosen_id"), "n_tokens", "block", "shard")
-    # rows that repeat are selected each; their places in the mixture are told apart by nothing, so one is enough
-    chosen = chosen.dropDuplicates(["__chosen_id", "n_tokens"])
-    size = mixing.token_count(F.col("text"))
-    return docs.join(chosen, (F.col("doc_id") == F.col("__chosen_id")) & (size == F.col("n_tokens"))).drop("__chosen_id")
+    """The documents that the mixture of sources selects, with their n_tokens, block and shard; see mixing.mix_sources().
+
+    Rows that share doc_id and source stay or go together.  Columns of docs that are
+    called n_tokens, block or shard are replaced; rows without a doc_id go.
+    """
+    chosen = mixing.mix_sources(docs).select("doc_id", "source", "block", "shard").distinct()
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    joined = whole.join(chosen, (F.col("row.doc_id") == F.col("doc_id")) & (F.coalesce("row.source", F.lit("")) == F.col("source")))
+    made = ["n_tokens", "block", "shard"]
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return joined.select(*kept, mixing.token_count(F.col("row.text")).alias("n_tokens"), "block", "shard")
