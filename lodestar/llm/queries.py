@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import chat, decontaminate, jaccard, langid, linededup, lmscore, mixing, mtree, repeats, tokencount
 
+#: Vectors whose id this divides are the queries of op3_exact_topk, against all vectors.
+QUERY_STEP = 50
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mtree.nearest(table(spark, sf_dir, "embeddings")).withColumn("distance", F.round("distance", 6))
+    return mtree.nearest(table(spark, sf_dir, "embeddings"), query_step=QUERY_STEP).withColumn("distance", F.round("distance", 6))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +74,4 @@ QUERIES: dict[str, Query] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.oracle(), "op3_exact_topk": mtree.oracle(), "op6_chat_formatting": chat.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_source_mixing": mixing.oracle(), "op3_exact_topk": mtree.oracle(query_step=QUERY_STEP), "op6_chat_formatting": chat.oracle()}

@@ -122,6 +122,8 @@ def test_nearest(spark, shape):
     df = spark.createDataFrame(table, "vec_id long, embedding array<float>, label int, id string")
     got = mtree.nearest(df, k=5, subtree_rows=40, page_rows=16)
     assert sorted((r.vec_id, r.rank, r.neighbour_id, round(r.distance, 6)) for r in got.collect()) == brute_nearest(vectors, 5)
+    some = mtree.nearest(df, k=5, query_step=7, subtree_rows=2, page_rows=4)  # many subtrees for the copies
+    assert sorted((r.vec_id, r.rank, r.neighbour_id, round(r.distance, 6)) for r in some.collect()) == [r for r in brute_nearest(vectors, 5) if r[0] % 7 == 0]
     assert mtree.nearest(df.limit(0)).count() == 0
 
 
@@ -129,7 +131,8 @@ def test_bounds_save_distances():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20, 4))[rng.integers(0, 20, 2000)] + 0.01 * rng.normal(size=(2000, 4))
     pivot = x[0]
-    tree = mtree.Tree(list(mtree.build_pages(np.arange(2000), x, pivot, 64)))
+    tree = mtree.Tree(*mtree.build_pages(np.arange(2000), x, pivot, 64))
+    assert 1 < len(tree.inner) < len(tree.pages)
     row, _, d = tree.search(np.arange(2000), x, mtree.exact(x, pivot[None]), np.full(2000, np.inf), 5)
     assert len(row) == 10000 and tree.measured < 0.4 * 2000 * 2000
     want = np.sort(np.sqrt(((x[:50, None] - x[None]) ** 2).sum(-1)), axis=1)[:, 1:6]
