@@ -87,8 +87,8 @@ _STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "men
 
 @lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
-    """Porter's stem of an English word in lower case; words under three letters, over twenty, or with other letters stay."""
-    if len(word) < 3 or len(word) > 20 or not (word.isascii() and word.isalpha()):
+    """Porter's stem of an English word in lower case; words under three letters, over 64, or with other letters stay."""
+    if len(word) < 3 or len(word) > 64 or not (word.isascii() and word.isalpha()):
         return word
     w = word
     if w.endswith("sses") or w.endswith("ies"):

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ DIRECTIONS = ("out", "in", "both")
 #: Limits of the adjacency that is broadcast: estimated bytes of the edges, and rows.
 LOCAL_BYTES = 512 << 20
 LOCAL_EDGES = 4_000_000
+#: Starts that walk side by side.
+STARTS = 64
 
 
 def check_direction(direction: str) -> str:
@@ -48,21 +51,29 @@ def steps(edges: DataFrame, relation: str | None = None, direction: str = "both"
 class Graph:
     """Names, sorted, and for each the positions of its neighbours: to[begin[i]:begin[i + 1]]."""
 
-    names: np.ndarray
+    names: pa.Array
     begin: np.ndarray
     to: np.ndarray
     weight: np.ndarray | None = None
 
     @staticmethod
-    def of(src: list, dst: list, weight: np.ndarray | None = None) -> Graph:
-        names, where = np.unique(np.array([*src, *dst], dtype=object), return_inverse=True) if src else (np.zeros(0, dtype=object), np.zeros(0, dtype=np.int64))
+    def of(src: pa.ChunkedArray, dst: pa.ChunkedArray, weight: np.ndarray | None = None) -> Graph:
+        """Names become numbers by a dictionary, so that of all the text only distinct names are sorted."""
+        coded = pa.chunked_array([*src.chunks, *dst.chunks], pa.string()).combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        where = rank[coded.indices.to_numpy()] if len(order) else np.zeros(0, dtype=np.int64)
         a, b = where[: len(src)], where[len(src) :]
-        order = np.lexsort((b, a))
-        return Graph(names, np.searchsorted(a[order], np.arange(len(names) + 1)), b[order], weight[order] if weight is not None else None)
+        by = np.lexsort((b, a))
+        return Graph(coded.dictionary.take(order), np.searchsorted(a[by], np.arange(len(order) + 1)), b[by], weight[by] if weight is not None else None)
 
     def index(self, name: str) -> int | None:
-        at = int(np.searchsorted(self.names, name)) if len(self.names) else 0
-        return at if at < len(self.names) and self.names[at] == name else None
+        at = pc.index(self.names, name).as_py()
+        return at if at >= 0 else None
+
+    def named(self, nodes) -> list[str]:
+        return self.names.take(pa.array(nodes, pa.int64())).to_pylist()
 
     def neighbours(self, nodes: np.ndarray) -> np.ndarray:
         """Positions in `to` of all edges out of nodes."""
@@ -81,6 +92,22 @@ class Graph:
             depth[frontier] = d
         return depth
 
+    def walk(self, starts: np.ndarray, max_depth: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of the starts, nodes, depths) of all that starts reach, side by side; takes room for what is reached alone."""
+        n = max(len(self.names), 1)
+        visited = frontier = np.arange(len(starts)) * n + starts
+        depth, d = np.zeros(len(starts), dtype=np.int32), 0
+        while len(frontier) and (max_depth is None or d < max_depth):
+            d += 1
+            owner, node = frontier // n, frontier % n
+            reached = np.unique(np.repeat(owner, self.begin[node + 1] - self.begin[node]) * n + self.to[self.neighbours(node)])
+            place = np.minimum(np.searchsorted(visited, reached), len(visited) - 1)
+            frontier = reached[visited[place] != reached]
+            merged = np.concatenate([visited, frontier])
+            order = np.argsort(merged, kind="stable")
+            visited, depth = merged[order], np.concatenate([depth, np.full(len(frontier), d, dtype=np.int32)])[order]
+        return visited // n, visited % n, depth
+
 
 def local_graph(adjacency: DataFrame, weighted: bool = False, limit: int | None = None) -> Graph | None:
     """adjacency (src, dst and weight) as a Graph, or None where it is too large for the driver."""
@@ -90,33 +117,38 @@ def local_graph(adjacency: DataFrame, weighted: bool = False, limit: int | None
     rows = adjacency.select("src", "dst", *(["weight"] if weighted else [])).limit(limit + 1).toArrow()
     if rows.num_rows > limit:
         return None
-    return Graph.of(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_numpy() if weighted else None)
+    return Graph.of(rows.column(0), rows.column(1), rows.column(2).to_numpy() if weighted else None)
 
 
 def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None, *, local_edges: int | None = None) -> DataFrame:
     """(start, node, depth): all nodes that each start reaches in at most max_depth steps, by the fewest; itself at 0."""
     spark = adjacency.sparkSession
-    adjacency = adjacency.select("src", "dst").distinct()
+    adjacency = adjacency.select("src", "dst")
     starts = starts.select(F.col(starts.columns[0]).cast("string").alias("start")).where("start IS NOT NULL").distinct()
     graph = local_graph(adjacency, limit=local_edges)
     if graph is not None:
         ship(spark)
         shared = spark.sparkContext.broadcast(graph)  # within LOCAL_EDGES
+        none = pa.array([], pa.string())
 
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for start in batch.column(0).to_pylist():
-                    graph_ = shared.value
-                    at = graph_.index(start)
-                    if at is None:
-                        nodes, depth = [start], np.zeros(1, dtype=np.int32)
-                    else:
-                        levels = graph_.levels(at, max_depth)
-                        found = np.flatnonzero(levels >= 0)
-                        nodes, depth = graph_.names[found].tolist(), levels[found].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([start] * len(nodes), pa.string()), pa.array(nodes, pa.string()), pa.array(depth)], names=["start", "node", "depth"])
+                graph_ = shared.value
+                for a in range(0, batch.num_rows, STARTS):
+                    own = pa.concat_arrays([batch.column(0).slice(a, STARTS).cast(pa.string())])
+                    at = pc.index_in(own, value_set=graph_.names)
+                    # a start without an edge reaches itself
+                    lone = own.filter(at.is_null())
+                    own = own.filter(at.is_valid())
+                    number, node, depth = graph_.walk(at.drop_null().to_numpy().astype(np.int64), max_depth)
+                    names = graph_.names.take(pa.array(node)) if len(node) else none
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.concat_arrays([own.take(pa.array(number)) if len(number) else none, lone]), pa.concat_arrays([names, lone]), pa.array(np.concatenate([depth, np.zeros(len(lone), dtype=np.int32)]))],
+                        names=["start", "node", "depth"],
+                    )
 
         return starts.mapInArrow(walk, "start string, node string, depth int")
+    adjacency = adjacency.distinct()
     adjacency = written(adjacency, "adjacency")
     frontier = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "level")
     visited, d = frontier, 0

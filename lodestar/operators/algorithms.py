@@ -8,6 +8,7 @@ to the shared folder.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,7 @@ def connected_components(edges: DataFrame, relation: str | None = None, *, local
             if (low == label).all():
                 break
             label = low[label]
-        names = graph.names.tolist()
-        return edges.sparkSession.createDataFrame([(n, names[i]) for n, i in zip(names, label.tolist(), strict=True)], "id string, component string")
+        return edges.sparkSession.createDataFrame(pa.table({"id": graph.names, "component": graph.names.take(pa.array(label))}))
     links = edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).distinct()
     links = written(links, "links")
     nodes = written(links.select(F.col("u").alias("id")).union(links.select("v")).distinct(), "nodes")
@@ -80,7 +80,7 @@ def pagerank(edges: DataFrame, relation: str | None = None, damping: float = 0.8
             rank = new
             if change < tol:
                 break
-        return spark.createDataFrame(list(zip(graph.names.tolist(), rank.tolist(), strict=True)), "id string, rank double")
+        return spark.createDataFrame(pa.table({"id": graph.names, "rank": rank}))
     links = written(edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.count("*").alias("times")), "links")
     outs = links.groupBy(F.col("src").alias("id")).agg(F.sum("times").alias("out"))
     nodes = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().join(outs, "id", "left"), "nodes")

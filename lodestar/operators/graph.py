@@ -118,7 +118,7 @@ def _first_path(graph: Graph, depth: np.ndarray, a: int, b: int) -> list[str] |
     for d in range(1, int(depth[b]) + 1):
         nexts = graph.to[graph.begin[path[-1]] : graph.begin[path[-1] + 1]]
         path.append(int(min(x for x in nexts.tolist() if x in layers[d])))
-    return graph.names[path].tolist()
+    return graph.named(path)
 
 
 def weighted_steps(edges: DataFrame, relation: str | None, direction: str, weight_field: str, default_weight: float) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.metadata import predicate
-from ..functions.words import query_phrases, stem, stem_array, word_array
+from ..functions.words import WORD, query_phrases, stem, stem_array, word_array
+from ..session import written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -33,6 +35,15 @@ def corpus_stats(texts: DataFrame, *, stemmed: bool = True, text_column: str = "
     return texts.where(F.col(text_column).isNotNull()).agg(F.count("*").alias("n_docs"), F.avg(F.size(words)).alias("avg_len"))
 
 
+_EDGE_BEFORE, _EDGE_AFTER, _BETWEEN = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])", r"[^\p{L}\p{N}]+"
+
+
+def _times(text: Column, phrase: tuple[str, ...]) -> Column:
+    """How often the phrase stands in a text in lower case, overlapping places too; no array is made."""
+    rest = "".join(_BETWEEN + re.escape(w) for w in phrase[1:]) + _EDGE_AFTER
+    return F.regexp_count(text, F.lit(f"{_EDGE_BEFORE}{re.escape(phrase[0])}" + (f"(?={rest})" if len(phrase) > 1 else rest)))
+
+
 def _count(words: Column, phrase: tuple[str, ...]) -> Column:
     """How often the phrase stands in an array of words."""
     if len(phrase) == 1:
@@ -51,18 +62,39 @@ def _phrases(query: str, stemmed: bool) -> Counter:
 
 
 def _rank(counted: DataFrame, stats: DataFrame, phrases: Counter, n_terms: int) -> DataFrame:
-    """counted: id, doc_len, f0, f1 ...; adds score, the negative BM25."""
+    """counted: id, doc_len, f0, f1 ... of texts; stats: a row (n_docs, avg_len, and how many texts have each term: n0, n1 ...).  (id, score) of those with a term."""
     tf = [F.col(f"f{j}") for j in range(n_terms)]
-    totals = counted.agg(*[F.sum((x > 0).cast("long")).alias(f"n{j}") for j, x in enumerate(tf)])
-    # both are a single row
-    joined = counted.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(totals))
+    # a single row
+    joined = counted.where(F.greatest(F.lit(0), *tf) > 0).crossJoin(F.broadcast(stats))
     score: Column = F.lit(0.0)
     for j, (x, times) in enumerate(zip(tf, phrases.values(), strict=True)):
         n = F.coalesce(F.col(f"n{j}"), F.lit(0))
         idf = F.log((F.col("n_docs") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
         score = score + times * idf * x * (K1 + 1) / (x + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    return joined.withColumn("score", -score).drop("n_docs", "avg_len", *[f"n{j}" for j in range(n_terms)], *[f"f{j}" for j in range(n_terms)])
+    return joined.select("id", (-score).alias("score"))
+
+
+def _totals(n_terms: int) -> list[Column]:
+    return [F.sum((F.col(f"f{j}") > 0).cast("long")).alias(f"n{j}") for j in range(n_terms)]
+
+
+def scored(texts: DataFrame, query: str, *, stemmed: bool = True, id_column: str = "id", text_column: str = "text") -> DataFrame:
+    """(id, score) of all texts that the query finds, in no order; see search()."""
+    phrases = _phrases(query, stemmed)
+    source = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
+    if not phrases:
+        return source.where("false").select("id", F.lit(0.0).alias("score"))
+    n = len(phrases)
+    if stemmed:
+        worded = with_words(source)
+        # stems are made once: a few numbers a text are written
+        counted = written(worded.select("id", F.size("words").alias("doc_len"), *[_count(F.col("words"), p).alias(f"f{j}") for j, p in enumerate(phrases)]), "counted")
+    else:
+        lower = source.select("id", F.lower("text").alias("text"))
+        counted = lower.select("id", F.regexp_count("text", F.lit(WORD)).alias("doc_len"), *[_times(F.col("text"), p).alias(f"f{j}") for j, p in enumerate(phrases)])
+    stats = counted.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"), *_totals(n))
+    return _rank(counted, stats, phrases, n)
 
 
 def search(texts: DataFrame, query: str, k: int = 10, *, stemmed: bool = True, id_column: str = "id", text_column: str = "text") -> DataFrame:
@@ -72,15 +104,7 @@ def search(texts: DataFrame, query: str, k: int = 10, *, stemmed: bool = True, i
     an underscore is a phrase of its parts.  Ties go by id.  A query without words
     finds nothing.
     """
-    phrases = _phrases(query, stemmed)
-    source = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    if not phrases:
-        return source.where("false").select("id", F.lit(0.0).alias("score"))
-    worded = with_words(source.where(F.col("text").isNotNull()), stemmed=stemmed)
-    counted = worded.select("id", F.size("words").alias("doc_len"), *[_count(F.col("words"), p).alias(f"f{j}") for j, p in enumerate(phrases)])
-    some = F.greatest(F.lit(0), *[F.col(f"f{j}") for j in range(len(phrases))]) > 0
-    ranked = _rank(counted.where(some), corpus_stats(source, stemmed=stemmed), phrases, len(phrases))
-    return ranked.select("id", "score").orderBy("score", "id").limit(k)
+    return scored(texts, query, stemmed=stemmed, id_column=id_column, text_column=text_column).orderBy("score", "id").limit(k)
 
 
 def search_index(index: DataFrame, stats: DataFrame, query: str, k: int = 10, *, stemmed: bool = True) -> DataFrame:
@@ -105,8 +129,8 @@ def search_index(index: DataFrame, stats: DataFrame, query: str, k: int = 10, *,
         return F.size(F.filter(lists[0], follows))
 
     counted = found.select("id", "doc_len", *[times(p).alias(f"f{j}") for j, p in enumerate(phrases)])
-    some = F.greatest(F.lit(0), *[F.col(f"f{j}") for j in range(len(phrases))]) > 0
-    return _rank(counted.where(some), stats, phrases, len(phrases)).select("id", "score").orderBy("score", "id").limit(k)
+    both = stats.crossJoin(F.broadcast(counted.agg(*_totals(len(phrases)))))  # a row each
+    return _rank(counted, both, phrases, len(phrases)).orderBy("score", "id").limit(k)
 
 
 def filtered_search(texts: DataFrame, records: DataFrame, query: str, k: int, where=None, *, mode: str = "pre", stemmed: bool = True) -> DataFrame:
@@ -114,6 +138,10 @@ def filtered_search(texts: DataFrame, records: DataFrame, query: str, k: int, wh
 
     Mode "pre" filters all hits; "post" only the k best.
     """
-    hits = search(texts, query, k if mode == "post" else 2_147_483_000, stemmed=stemmed)
-    allowed = records.where(predicate(F.col("metadata"), where)).select("id")
-    return hits.join(allowed, "id", "left_semi").orderBy("score", "id").limit(k)
+    found = scored(texts, query, stemmed=stemmed)
+    if mode == "post":
+        found = found.orderBy("score", "id").limit(k)
+    if where is not None:
+        allowed = records.where(predicate(F.col("metadata"), where)).select("id")
+        found = found.join(allowed, "id", "left_semi")
+    return found.orderBy("score", "id").limit(k)

@@ -11,12 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import check_metric, distance, matrix_distance
 from ..functions.metadata import predicate
-from ..session import input_bytes, ship
+from ..session import input_bytes, ship, written
 
 #: Queries of this size at most are sent to all tasks; more are joined in blocks.
 BROADCAST_BYTES = 32 << 20
@@ -25,7 +26,13 @@ BLOCK_ROWS = 1024
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """Rows of vectors; they must be of one length and without nulls."""
     count = len(column)
+    lengths = pc.min_max(pc.list_value_length(column))
+    if count and lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} to {lengths['max']} components")
+    if column.flatten().null_count:
+        raise ValueError("a vector with a null component")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(count, -1 if count else (dim or 0))
 
@@ -163,18 +170,25 @@ def near_pairs(records: DataFrame, threshold: float, *, metric: str = "cosine",
     ship(records.sparkSession)
     side = records.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     kind = side.schema["id"].dataType.simpleString()
-    left = _blocks(side)
-    right = _blocks(side).select(F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"))
+    blocks = written(_blocks(side).withColumn("block", F.monotonically_increasing_id()), "blocks")
+    left = blocks.select("ids", "vectors", "block")
+    right = blocks.select(F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"), F.col("block").alias("block_b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 a, va, b, vb = (batch.column(j)[i].values for j in range(4))
                 score = matrix_distance(_matrix(va), _matrix(vb), metric)
+                if batch.column(4)[i].as_py():
+                    score = np.where(np.tri(len(score), dtype=bool), np.inf, score)  # each pair once
                 row, column = np.nonzero(score < threshold)
-                yield pa.RecordBatch.from_arrays([a.take(pa.array(row)), b.take(pa.array(column)), pa.array(score[row, column])], names=["id_a", "id_b", "score"])
+                x, y = a.take(pa.array(row)), b.take(pa.array(column))
+                turned = pc.greater(x, y)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, y, x), pc.if_else(turned, x, y), pa.array(score[row, column])], names=["id_a", "id_b", "score"])
 
-    return left.crossJoin(right).mapInArrow(meet, f"id_a {kind}, id_b {kind}, score double").where("id_a < id_b")
+    # two blocks meet once
+    met = left.join(right, F.col("block") <= F.col("block_b")).select("ids", "vectors", "ids_b", "vectors_b", (F.col("block") == F.col("block_b")).alias("own"))
+    return met.mapInArrow(meet, f"id_a {kind}, id_b {kind}, score double").where("id_a < id_b")
 
 
 def score_column(vector: Column, other: Column, metric: str = "cosine") -> Column:
