@@ -17,25 +17,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text) of the documents that have a vector: a record may lack a text, a text never its record."""
-    docs = table(spark, sf_dir, "documents")
-    have = table(spark, sf_dir, "embeddings").select("vec_id")
-    return docs.join(have, F.col("doc_id") == F.col("vec_id"), "left_semi").select(F.col("doc_id").cast("string").alias("id"), "text")
-
-
-def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text) of all documents that have a text, with a vector or without."""
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("id"), "text")
 
 
 def full_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, embedding, metadata, text)."""
-    return records(spark, sf_dir).join(texts(spark, sf_dir), "id", "left")
-
-
-def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, embedding, metadata, text) of all vectors and of all texts; what one of them lacks is null."""
-    return records(spark, sf_dir).join(all_texts(spark, sf_dir), "id", "full_outer")
+    return records(spark, sf_dir).join(texts(spark, sf_dir), "id", "full_outer")
 
 
 def _named(prefix: str, column: str) -> F.Column:
@@ -82,5 +70,4 @@ EDGES_SQL = """edges AS (
   UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'placed', o_totalprice FROM orders
   UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, 'supplies', sum(l_quantity) FROM lineitem GROUP BY l_suppkey, l_partkey)"""
 RECORDS_SQL = "records AS (SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings)"
-TEXTS_SQL = "texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings) AND text IS NOT NULL)"
-ALL_TEXTS_SQL = "texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE text IS NOT NULL)"
+TEXTS_SQL = "texts AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE text IS NOT NULL)"

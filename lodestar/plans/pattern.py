@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import as_text, kind_of, raw_value
@@ -237,32 +237,40 @@ def _anchors(pattern: Pattern) -> list[str] | None:
     return list(dict.fromkeys(found)) or None
 
 
-def run(records: DataFrame, edges: DataFrame, query: str | Pattern, *, local_edges: int | None = None) -> DataFrame:
+def _starts(records: DataFrame, p: Pattern) -> DataFrame:
+    """(id) of what the left end may be."""
+    anchors = _anchors(p)
+    if anchors is not None:
+        return records.sparkSession.createDataFrame([(a,) for a in anchors], "id string")
+    conditions = [reduce(and_, [_condition_column(c) for c in g if c.variable == p.left], F.lit(True)) for g in p.any_of]
+    if not conditions:
+        return records.select("id")
+    # groups' own conditions on the left end, before anything is walked
+    return records.select(F.col("id").alias(f"{p.left}_id"), F.col("metadata").alias(f"{p.left}_metadata")).where(reduce(or_, conditions)).select(F.col(f"{p.left}_id").alias("id"))
+
+
+def run(records: DataFrame, edges: DataFrame, query: str | Pattern, *, max_nodes: int | None = None, local_edges: int | None = None) -> DataFrame:
     """The rows of a query; columns are named as its RETURN items, with "_" for ".".
 
     The left end is any live record, or what a condition on its id names (which needs
     no record).  A pair of ends is a row once, by the fewest steps between them along
     the edges' direction; the right end needs no record, but has no fields then.  An
     item without a field is a struct (id, metadata).  Rows without the ORDER BY field
-    come last; ties go by the ids.
+    come last; ties go by the ids.  max_nodes: of each start only so many of the nodes
+    it reaches are looked at, itself first, then by depth and id.
     """
     p = parse(query) if isinstance(query, str) else query
-    spark = records.sparkSession
-    anchors = _anchors(p)
-    if anchors is not None:
-        starts = spark.createDataFrame([(a,) for a in anchors], "id string")
-    else:
-        starts = records.select("id")
-        conditions = [reduce(and_, [_condition_column(c) for c in g if c.variable == p.left], F.lit(True)) for g in p.any_of]
-        if conditions:
-            # groups' own conditions on the left end, before anything is walked
-            starts = records.select(F.col("id").alias(f"{p.left}_id"), F.col("metadata").alias(f"{p.left}_metadata")).where(reduce(or_, conditions)).select(F.col(f"{p.left}_id").alias("id"))
+    starts = _starts(records, p)
     adjacency = steps(edges, p.relation, "out")
-    if (p.least, p.most) == (1, 1):
+    if (p.least, p.most) == (1, 1) and max_nodes is None:
         # a single step is a join
         pairs = starts.join(adjacency, F.col("id") == F.col("src")).where("src <> dst").select(F.col("src").alias("start"), F.col("dst").alias("node")).distinct()
     else:
-        pairs = reach(adjacency, starts, p.most, local_edges=local_edges).where((F.col("depth") >= p.least) & (F.col("depth") <= p.most))
+        pairs = reach(adjacency, starts, p.most, local_edges=local_edges)
+        if max_nodes is not None:
+            nearest = Window.partitionBy("start").orderBy("depth", "node")
+            pairs = pairs.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= max_nodes)
+        pairs = pairs.where((F.col("depth") >= p.least) & (F.col("depth") <= p.most))
         if p.least > 0:
             pairs = pairs.where("start <> node")
     ends = {p.left: "start", p.right: "node"}
@@ -303,12 +311,23 @@ def _returned(item: Item) -> Column:
     return value.alias(item.name.replace(".", "_"))
 
 
+@dataclass
+class Found:
+    """rows of a query; truncated: whether some start reaches more nodes than were asked for."""
+
+    rows: DataFrame
+    truncated: bool
+
+
+def run_capped(records: DataFrame, edges: DataFrame, query: str | Pattern, max_nodes: int = 1000) -> Found:
+    """As run(), of each start with the max_nodes nearest of the nodes it reaches, itself counted, by depth and id."""
+    return Found(run(records, edges, query, max_nodes=max_nodes), truncated(records, edges, query, max_nodes))
+
+
 def truncated(records: DataFrame, edges: DataFrame, query: str | Pattern, max_nodes: int = 1000) -> bool:
     """Whether some start of the query reaches more than max_nodes nodes."""
     p = parse(query) if isinstance(query, str) else query
-    anchors = _anchors(p)
-    starts = records.sparkSession.createDataFrame([(a,) for a in anchors], "id string") if anchors is not None else records.select("id")
-    counts = reach(steps(edges, p.relation, "out"), starts, p.most).groupBy("start").count()
+    counts = reach(steps(edges, p.relation, "out"), _starts(records, p), p.most).groupBy("start").count()
     return not counts.where(F.col("count") > max_nodes).isEmpty()
 
 

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Imported:
-    """edges (source_id, target_id, relation, metadata), before they are made unique, and how many rows were left out."""
+    """edges (source_id, target_id, relation, metadata, position), before they are made unique, and the rows left out.
+
+    position orders the rows as the files, by name, have them: of equal edges the last counts.
+    """
 
     edges: DataFrame
     skipped_rows: DataFrame
@@ -32,14 +35,16 @@ def edges_from_csv(spark: SparkSession, path: str, source_column: str = "source"
     one, blank cells of metadata are left out, others are JSON values if they read as
     JSON, else strings.
     """
+    # a file that may hold line breaks in cells is read by one task, in order
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    position = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
     missing = [c for c in (source_column, target_column) if c not in rows.columns]
     source = F.trim(F.coalesce(F.col(source_column) if source_column not in missing else F.lit(""), F.lit("")))
     target = F.trim(F.coalesce(F.col(target_column) if target_column not in missing else F.lit(""), F.lit("")))
     relation = F.trim(F.coalesce(F.col(relation_column), F.lit(""))) if relation_column in rows.columns else F.lit("")
     parts = [F.when(F.trim(F.col(c)) != "", F.concat(F.to_json(F.array(F.lit(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(c)))) - 2), F.lit(":"), _value(F.col(c)))) for c in metadata_columns or [] if c in rows.columns]
     metadata = F.concat(F.lit("{"), F.concat_ws(",", *parts) if parts else F.lit(""), F.lit("}"))
-    made = rows.select(source.alias("source_id"), target.alias("target_id"), F.when(relation == "", F.lit(default_relation)).otherwise(relation).alias("relation"), metadata.alias("metadata"))
+    made = rows.select(source.alias("source_id"), target.alias("target_id"), F.when(relation == "", F.lit(default_relation)).otherwise(relation).alias("relation"), metadata.alias("metadata"), position.alias("position"))
     good = (F.col("source_id") != "") & (F.col("target_id") != "")
     return Imported(made.where(good), made.where(~good))
 
@@ -49,5 +54,6 @@ def edges_from_adjacency(spark: SparkSession, path: str, relation: str = "relate
     lines = spark.read.text(path).select(F.trim("value").alias("line")).where((F.col("line") != "") & ~F.col("line").startswith("#"))
     parts = F.filter(F.transform(F.split("line", "\\Q" + delimiter + "\\E"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = lines.select(parts.alias("p")).where(F.size("p") > 1).select(F.col("p")[0].alias("source_id"), F.explode(F.slice("p", 2, 2_147_483_647)).alias("target_id"))
-    edges = pairs.select("source_id", "target_id", F.lit(relation).alias("relation"), F.lit("{}").alias("metadata"))
+    # equal edges of a list don't differ, so any of them may count
+    edges = pairs.select("source_id", "target_id", F.lit(relation).alias("relation"), F.lit("{}").alias("metadata"), F.lit(0).alias("position"))
     return Imported(edges, edges.where("false"))

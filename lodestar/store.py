@@ -219,6 +219,25 @@ class Collection:
             self._manifest["folded"] = False
             self._append("records", self.spark.createDataFrame([(id, None, encode(metadata), None, self._take_seq(), "patch")], _RECORDS))
 
+    def update_metadata_frame(self, rows: DataFrame) -> None:
+        """Replaces the metadata (JSON) of the records in rows (id, metadata); ids must not repeat, those without a record are passed over."""
+        with self._lock:
+            known = rows.select(F.col("id").cast("string").alias("id"), "metadata").join(self.records.select("id"), "id", "left_semi")
+            nothing = F.lit(None)
+            seq = self._take_seq()
+            self._manifest["folded"] = False
+            self._append("records", known.select("id", nothing.cast("array<float>").alias("embedding"), F.coalesce("metadata", F.lit("{}")).alias("metadata"), nothing.cast("string").alias("text"), F.lit(seq).cast("long").alias("seq"), F.lit("patch").alias("op")))
+
+    def delete_frame(self, ids: DataFrame) -> None:
+        """As delete(), for the ids in the column id of a DataFrame of any size."""
+        with self._lock:
+            named = ids.select(F.col("id").cast("string").alias("id")).where("id IS NOT NULL").distinct()
+            self._cut_edges(named)
+            nothing = F.lit(None)
+            seq = self._take_seq()
+            self._manifest["folded"] = False
+            self._append("records", named.select("id", nothing.cast("array<float>").alias("embedding"), nothing.cast("string").alias("metadata"), nothing.cast("string").alias("text"), F.lit(seq).cast("long").alias("seq"), F.lit("delete").alias("op")))
+
     def get(self, id: str) -> dict[str, Any] | None:
         row = self.records.where(F.col("id") == id).select("metadata").first()
         return None if row is None else {"id": id, "metadata": json.loads(row.metadata or "{}")}
@@ -275,11 +294,16 @@ class Collection:
                 self._append("edges", self.spark.createDataFrame(rows, _EDGES))
             return len(rows)
 
-    def add_edge_frame(self, edges: DataFrame) -> None:
-        """Puts the edges of a DataFrame (source_id, target_id, relation, metadata)."""
+    def add_edge_frame(self, edges: DataFrame, order: str | None = None) -> None:
+        """Puts the edges of a DataFrame (source_id, target_id, relation, metadata).
+
+        Of the same source, target and relation that with the highest order counts;
+        without order, edges must not repeat with other metadata.
+        """
         with self._lock:
             seq = self._take_seq()
-            once = edges.groupBy("source_id", "target_id", "relation").agg(F.max("metadata").alias("metadata"))
+            last = F.max_by("metadata", order) if order is not None else F.max("metadata")
+            once = edges.groupBy("source_id", "target_id", "relation").agg(last.alias("metadata"))
             self._append("edges", once.select("source_id", "target_id", "relation", "metadata", F.lit(seq).cast("long").alias("seq"), F.lit("put").alias("op")))
 
     def delete_edge(self, source: str, target: str, relation: str | None = None) -> None:
@@ -290,14 +314,18 @@ class Collection:
 
     def import_edges_csv(self, path: str, source_column: str = "source", target_column: str = "target", relation_column: str | None = None, default_relation: str = "related", metadata_columns: list[str] | None = None) -> dict[str, int]:
         got = edges_from_csv(self.spark, path, source_column, target_column, relation_column, default_relation, metadata_columns)
-        self.add_edge_frame(got.edges)
+        self.add_edge_frame(got.edges, "position")
         return got.counts()
 
     def import_adjacency_list(self, path: str, relation: str = "related", delimiter: str = " ") -> dict[str, int]:
         got = edges_from_adjacency(self.spark, path, relation, delimiter)
-        self.add_edge_frame(got.edges)
+        self.add_edge_frame(got.edges, "position")
         return {"imported": got.counts()["imported"]}
 
+    def get_edges(self, id: str, relation: str | None = None, direction: str = "both") -> DataFrame:
+        """The edges at a node, each once."""
+        return graph.incident_edges(self.edges, id, relation, direction)
+
     def get_neighbors(self, id: str, relation: str | None = None, direction: str = "both", with_metadata: bool = False) -> DataFrame:
         return graph.neighbors(self.edges, id, relation, direction, records=self.records if with_metadata else None)
 
@@ -344,6 +372,10 @@ class Collection:
     def query(self, text: str) -> DataFrame:
         return pattern.run(self.records.select("id", "metadata"), self.edges, text)
 
+    def run_query(self, text: str, max_nodes: int = 1000) -> pattern.Found:
+        """The rows of a query in which no start reaches more than max_nodes nodes, and whether that cut any off."""
+        return pattern.run_capped(self.records.select("id", "metadata"), self.edges, text, max_nodes)
+
     def degree_centrality(self, relation: str | None = None, direction: str = "both") -> DataFrame:
         return algorithms.degree_centrality(self.edges, relation, direction)
 

@@ -19,7 +19,7 @@ def fewer_vectors(spark, small, tmp_path_factory):
     return folder
 
 
-KEYWORD = ["bm25_topk_all", "bm25_duplicate_terms_all", "bm25_index_all", "postings_terms_all", "hybrid_rrf_all", "hybrid_rrf_filtered_all"]
+KEYWORD = ["bm25_topk", "bm25_duplicate_terms", "bm25_index", "postings_terms", "hybrid_rrf", "hybrid_rrf_filtered"]
 
 
 @pytest.mark.parametrize("name", KEYWORD)
@@ -36,12 +36,12 @@ def test_keyword_queries_over_texts_without_vector(spark, fewer_vectors, name):
 
 def test_stemmed_search_finds_texts_without_vector(spark, fewer_vectors):
     docs = spark.read.parquet(f"{fewer_vectors}/documents.parquet").where("text IS NOT NULL").count()
-    assert catalog.all_texts(spark, fewer_vectors).count() == docs > 60
+    assert catalog.texts(spark, fewer_vectors).count() == docs > 60
     assert any(int(r.id) >= 50 for r in QUERIES["bm25_stemmed"](spark, fewer_vectors).collect())
 
 
 def test_hybrid_joins_texts_without_vector_and_vectors_without_text(spark, fewer_vectors):
-    rows = {r.id: r for r in catalog.all_records(spark, fewer_vectors).collect()}
+    rows = {r.id: r for r in catalog.full_records(spark, fewer_vectors).collect()}
     assert rows["100"].text is not None and rows["100"].embedding is None
     assert rows["495"].text is None and rows["495"].embedding is not None
 
@@ -51,7 +51,7 @@ def all_edges(spark, small):
     return [(r.source_id, r.target_id, r.relation) for r in catalog.edges(spark, small).collect()]
 
 
-@pytest.mark.parametrize("name", ["connected_components_all", "connected_components_all_joined"])
+@pytest.mark.parametrize("name", ["connected_components", "connected_components_joined"])
 def test_components_of_all_edges(spark, small, all_edges, name):
     root = {}
 
@@ -86,7 +86,7 @@ def test_pagerank_of_all_edges(spark, small, all_edges):
 
 
 def test_path_over_all_edges(spark, small, all_edges):
-    path = [r.id for r in sorted(QUERIES["shortest_path_all"](spark, small).collect())]
+    path = [r.id for r in sorted(QUERIES["shortest_path"](spark, small).collect())]
     near = {}
     for a, b, _ in all_edges:
         near.setdefault(a, set()).add(b)
@@ -97,11 +97,11 @@ def test_path_over_all_edges(spark, small, all_edges):
     assert path == level[path[-1]] and len(path) > 2
 
 
-@pytest.mark.parametrize("name", ["import_csv_all", "import_adjacency_all"])
+@pytest.mark.parametrize("name", ["import_csv", "import_adjacency"])
 def test_imports_hold_all_edges(spark, small, all_edges, name):
     got = QUERIES[name](spark, small).collect()
     assert sorted((r.source_id, r.target_id) for r in got) == sorted({(a, b) for a, b, _ in all_edges})
-    assert {r.relation for r in got} == ({r for _, _, r in all_edges} if name == "import_csv_all" else {"linked"})
+    assert {r.relation for r in got} == ({r if r != "in_region" else "related" for _, _, r in all_edges} if name == "import_csv" else {"linked"})
 
 
 @pytest.mark.parametrize("local", [None, 0])
