@@ -124,7 +124,9 @@ def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None, *, loc
     """(start, node, depth): all nodes that each start reaches in at most max_depth steps, by the fewest; itself at 0."""
     spark = adjacency.sparkSession
     adjacency = adjacency.select("src", "dst")
-    starts = starts.select(F.col(starts.columns[0]).cast("string").alias("start")).where("start IS NOT NULL").distinct()
+    starts = starts.select(F.col(starts.columns[0]).cast("string").alias("start")).where("start IS NOT NULL")
+    # many partitions for few bytes: a walk costs more than its start weighs
+    starts = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start").distinct()
     graph = local_graph(adjacency, limit=local_edges)
     if graph is not None:
         ship(spark)
@@ -134,9 +136,10 @@ def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None, *, loc
         def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 graph_ = shared.value
+                places = pc.index_in(batch.column(0).cast(pa.string()), value_set=graph_.names)
                 for a in range(0, batch.num_rows, STARTS):
                     own = pa.concat_arrays([batch.column(0).slice(a, STARTS).cast(pa.string())])
-                    at = pc.index_in(own, value_set=graph_.names)
+                    at = places.slice(a, STARTS)
                     # a start without an edge reaches itself
                     lone = own.filter(at.is_null())
                     own = own.filter(at.is_valid())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import predicate
 from ..functions.words import WORD, query_phrases, stem, stem_array, word_array
-from ..session import written
+from ..session import spread, written
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -24,7 +24,7 @@ def with_words(texts: DataFrame, *, stemmed: bool = True, text_column: str = "te
 
 def postings(texts: DataFrame, *, stemmed: bool = True, id_column: str = "id", text_column: str = "text") -> DataFrame:
     """(term, id, positions, doc_len): the inverted index of the texts; no shuffle, as a row is a term of one text."""
-    worded = with_words(texts.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), stemmed=stemmed, text_column="text")
+    worded = with_words(spread(texts.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))), stemmed=stemmed, text_column="text")
     at = worded.select("id", F.size("words").alias("doc_len"), F.posexplode("words").alias("position", "term"))
     return at.groupBy("id", "term", "doc_len").agg(F.array_sort(F.collect_list("position")).alias("positions")).select("term", "id", "positions", "doc_len")
 
@@ -40,8 +40,12 @@ _EDGE_BEFORE, _EDGE_AFTER, _BETWEEN = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])",
 
 def _times(text: Column, phrase: tuple[str, ...]) -> Column:
     """How often the phrase stands in a text in lower case, overlapping places too; no array is made."""
+    some = F.lit(True)
+    for w in phrase:
+        some = some & F.contains(text, F.lit(w))
     rest = "".join(_BETWEEN + re.escape(w) for w in phrase[1:]) + _EDGE_AFTER
-    return F.regexp_count(text, F.lit(f"{_EDGE_BEFORE}{re.escape(phrase[0])}" + (f"(?={rest})" if len(phrase) > 1 else rest)))
+    count = F.regexp_count(text, F.lit(f"{_EDGE_BEFORE}{re.escape(phrase[0])}" + (f"(?={rest})" if len(phrase) > 1 else rest)))
+    return F.when(some, count).otherwise(F.lit(0))
 
 
 def _count(words: Column, phrase: tuple[str, ...]) -> Column:
@@ -82,7 +86,7 @@ def _totals(n_terms: int) -> list[Column]:
 def scored(texts: DataFrame, query: str, *, stemmed: bool = True, id_column: str = "id", text_column: str = "text") -> DataFrame:
     """(id, score) of all texts that the query finds, in no order; see search()."""
     phrases = _phrases(query, stemmed)
-    source = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL")
+    source = spread(texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL"))
     if not phrases:
         return source.where("false").select("id", F.lit(0.0).alias("score"))
     n = len(phrases)

@@ -559,7 +559,7 @@ def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = rows.limit(1).withColumn("target", F.lit(None).cast("string"))
     turns = earlier.withColumn("turn", F.lit(1)).union(rows.withColumn("turn", F.lit(2))).union(broken.withColumn("turn", F.lit(3)))
     # files are named in the order of their rows
-    turns.orderBy("turn").drop("turn").write.option("header", True).csv(path)
+    turns.orderBy("turn", "source", "target").drop("turn").write.option("header", True).csv(path)
     made = _collection(spark, sf_dir)
     made.import_edges_csv(path, relation_column="kind", metadata_columns=["weight", "note"])
     return made.edges.select("source_id", "target_id", "relation", F.get_json_object("metadata", "$.weight").cast("double").alias("weight"), F.get_json_object("metadata", "$.note").alias("note"))

@@ -111,6 +111,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where a small table has fewer partitions than half of them; as it is otherwise, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    have = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if 2 * have >= cores else df.repartition(cores)
+
+
 #: Estimates from here on stand for an unknown size.
 UNKNOWN_BYTES = 1 << 60
 
