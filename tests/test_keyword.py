@@ -54,7 +54,13 @@ def test_fusion(spark):
 
 
 def test_hybrid_filter(spark):
-    rows = [("h1", [1.0, 0.0], '{"k":1}', "the quick brown fox"), ("h2", [0.0, 1.0], '{"k":2}', "SKU-4471-X is out of stock"), ("h3", [0.5, 0.5], '{"k":2}', None)]
+    rows = [("h1", [1.0, 0.0], '{"k":1}', "a grey heron waits"), ("h2", [0.0, 1.0], '{"k":2}', "SKU-4471-X is out of stock"), ("h3", [0.5, 0.5], '{"k":2}', None)]
     records = spark.createDataFrame(rows, "id string, embedding array<float>, metadata string, text string")
     assert hybrid.search(records, [0.0, 1.0], "SKU-4471-X", 3).first().id == "h2"
     assert {r.id for r in hybrid.search(records, [0.0, 1.0], "fox", 3, where={"k": 2}).collect()} == {"h2", "h3"}
+
+
+def test_stems_of_long_words():
+    from lodestar.functions.words import stem
+
+    assert stem("internationalizations") == stem("internationalization")

@@ -93,3 +93,20 @@ def test_near_duplicate_of_noise(spark):
     assert got.id == "d02" and got.score < 0.01
     twin = df.union(spark.createDataFrame([("zz", noisy.tolist(), "{}")], df.schema))
     assert [(r.id_a, r.id_b) for r in vector.near_pairs(twin, 0.01).collect()] == [("d02", "zz")]
+
+
+def test_vectors_of_several_lengths_or_with_nulls_raise(spark):
+    for bad in ([[1.0], [1.0, 2.0, 3.0]], [[1.0, None], [1.0, 2.0]]):
+        rows = spark.createDataFrame([(str(i), v) for i, v in enumerate(bad)], "id string, embedding array<double>").coalesce(1)
+        with pytest.raises(Exception, match="component"):
+            vector.top_k(rows, [1.0, 2.0], 2).collect()
+        with pytest.raises(Exception, match="component"):
+            vector.near_pairs(rows, 0.5).collect()
+
+
+@pytest.mark.parametrize("block_rows", [2, 1024])
+def test_near_pairs_come_once(spark, block_rows, monkeypatch):
+    monkeypatch.setattr(vector, "BLOCK_ROWS", block_rows)
+    rows = spark.createDataFrame([(f"v{i}", [float(i % 3), 1.0]) for i in range(9)], "id string, embedding array<double>")
+    got = sorted((r.id_a, r.id_b) for r in vector.near_pairs(rows, 1e-6).collect())
+    assert got == [(f"v{i}", f"v{j}") for i in range(9) for j in range(i + 1, 9) if i % 3 == j % 3]
