@@ -5,17 +5,20 @@ least among those of its grams; wherever the passage stands, that gram is chosen
 So positions that can share a passage meet at the hash of the chosen gram, and the
 suffixes of the corpus need not be sorted in one place:
 
-1. The chosen grams of all documents are shuffled by hash.  A hash that one
-   document alone has is dropped.
+1. The chosen grams of all documents are counted by hash.  A hash that stands at one
+   place alone is dropped.
 2. Around each gram left, the document's words that can be in a passage which
    chose it go to the gram's hash, with the numbers of the document and the word.
 3. There the suffixes that start at the passages' first words are sorted by
    merging runs.  Two suffixes are compared by the length of their common
    extension, found by binary search on prefix sums of a polynomial hash: some six
-   look-ups for 50 words.  Neighbours that agree on min_words words are verified
-   word by word.
+   look-ups for 50 words.  Neighbours whose hashes agree on min_words words are
+   verified letter by letter.
+4. A gram at more than HOT_PLACES places would be too much for one task.  There each
+   passage is told by two 64-bit hashes of its words, drawn apart, and passages are
+   grouped by these, with partial aggregates ahead of the shuffle.
 
-Every passage of min_words words that two documents share is found; adjoining and
+Every passage of min_words words that stands at two places is found; adjoining and
 overlapping ones are merged.
 """
 
@@ -28,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, written
-from .tokens import Words, cut_hash, mix64, prefix_hash, slices, words_of
+from ..session import discard, ship, written
+from .tokens import Words, cut_hash, freed, mix64, prefix_hash, slices, words_of
 
 MIN_WORDS = 50
 #: Words in hand when suffixes are sorted; groups of one gram aren't parted.
 SORT_WORDS = 400_000
+#: Places of a gram that one task takes.
+HOT_PLACES = 20_000
 
 
 def chosen_grams(words: Words, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,12 +72,13 @@ def common_extension(prefix: np.ndarray, a: np.ndarray, b: np.ndarray, limit: in
     return low
 
 
-def suffix_sort(tokens: np.ndarray, suffix: np.ndarray, part: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_sort(tokens: np.ndarray, suffix: np.ndarray, part: np.ndarray, limit: int, text: bytes, letter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order of the suffixes by (part, first limit words), whether each equals the one before it in those words).
 
     part ascends.  Bottom-up mergesort of all parts at once: in each round, every
     suffix finds by binary search how many of the neighbouring run go before it.
-    Each suffix has limit words at least; what the hashes say is equal is verified.
+    Each suffix has limit words at least; what the hashes say is equal is verified by
+    text, in which word i begins at letter[i].
     """
     prefix = prefix_hash(tokens)
     n = len(suffix)
@@ -115,30 +121,42 @@ def suffix_sort(tokens: np.ndarray, suffix: np.ndarray, part: np.ndarray, limit:
     pairs = np.flatnonzero(~first)
     equal = common_extension(prefix, current[pairs - 1], current[pairs], limit) == limit
     pairs = pairs[equal]
-    # the hashes agree; the words decide
-    for cut in range(0, len(pairs), 1 << 14):
-        some = pairs[cut : cut + (1 << 14)]
-        span = np.arange(limit)
-        same[some] = (tokens[current[some - 1][:, None] + span] == tokens[current[some][:, None] + span]).all(axis=1)
+    # the hashes agree; the letters decide
+    x, y = current[pairs - 1], current[pairs]
+    spans = zip(letter[x].tolist(), letter[x + limit].tolist(), letter[y].tolist(), letter[y + limit].tolist(), strict=True)
+    same[pairs] = [text[a:b] == text[c:d] for a, b, c, d in spans]
     return order, same
 
 
 class _Stretch:
-    """Words around a chosen gram, the same ones wherever they stand: (doc_id, number of the first word) of each place."""
+    """Words around a chosen gram, the same ones wherever they stand: (doc_id, number of the first word) of each place.
 
-    __slots__ = ("places", "words", "gram", "windows")
+    text: the words, each with a blank after it; at: where each begins in it.
+    """
+
+    __slots__ = ("at", "gram", "places", "text", "windows", "words")
 
-    def __init__(self, words: np.ndarray, gram: int, windows: int):
-        self.words, self.gram, self.windows = words, gram, windows
+    def __init__(self, words: np.ndarray, text: bytes, at: np.ndarray, gram: int, windows: int):
+        self.words, self.text, self.at, self.gram, self.windows = words, text, at, gram, windows
         self.places: list[tuple[int, int]] = []
 
 
+def spaced(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all words, a blank after each; where each begins, and the end)."""
+    length = words.end - words.start
+    at = np.concatenate([[0], np.cumsum(length + 1)])
+    out = np.full(at[-1], ord(" "), dtype=np.uint8)
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    out[np.repeat(at[:-1], length) + step] = words.data[np.repeat(words.start, length) + step]
+    return out, at
+
+
 def _spans(groups: list[list[_Stretch]], min_words: int) -> Iterator[tuple[int, int, int, bool]]:
     """(doc_id, start, end, later) of the passages in groups of stretches that chose the same gram."""
     several = [g for g in groups if len(g) > 1]
     for (only,) in (g for g in groups if len(g) == 1):
         first = min(only.places)
-        if any(doc != first[0] for doc, _ in only.places):
+        if any(place != first for place in only.places):
             for place in only.places:
                 yield place[0], place[1], place[1] + only.windows - 1 + min_words, place != first
     if not several:
@@ -154,20 +172,20 @@ def _spans(groups: list[list[_Stretch]], min_words: int) -> Iterator[tuple[int,
     # passages that are equal have their chosen gram at the same distance
     part = group[owner] * (min_words + 1) + np.array([s.gram for s in stretches])[owner] - window
     by_part = np.argsort(part, kind="stable")
-    order, same = suffix_sort(tokens, (begin[owner] + window)[by_part], part[by_part], min_words)
+    room = np.array([len(s.text) for s in stretches])
+    at = np.concatenate([s.at[:-1] + base for s, base in zip(stretches, (np.cumsum(room) - room).tolist(), strict=True)] + [[room.sum()]])
+    order, same = suffix_sort(tokens, (begin[owner] + window)[by_part], part[by_part], min_words, b"".join(s.text for s in stretches), at)
     order = by_part[order]
-    low = [min(s.places) for s in stretches]
-    docs = [(min(p[0] for p in s.places), max(p[0] for p in s.places)) for s in stretches]
+    low, high = [min(s.places) for s in stretches], [max(s.places) for s in stretches]
     repeated = np.zeros(len(owner), dtype=bool)
     firsts: list[dict[int, tuple[int, int]]] = [{} for _ in stretches]
     starts = np.flatnonzero(~same)
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         members = order[a:b].tolist()
-        held = [owner[i] for i in members]
-        if min(docs[k][0] for k in held) == max(docs[k][1] for k in held):
+        where, best = min(((low[owner[i]][0], low[owner[i]][1] + int(window[i])), i) for i in members)
+        if where == max((high[owner[i]][0], high[owner[i]][1] + int(window[i])) for i in members):
             continue
         repeated[members] = True
-        where, best = min(((low[owner[i]][0], low[owner[i]][1] + int(window[i])), i) for i in members)
         firsts[owner[best]][int(window[best])] = where
     edge = np.concatenate([[0], np.cumsum(count)])
     for k, s in enumerate(stretches):
@@ -200,23 +218,23 @@ def _runs(mask: list[bool]) -> list[tuple[int, int]]:
 
 
 def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, end_word, words, later) of the passages of min_words words or more that another document has too.
+    """(doc_id, start_word, end_word, words, later) of the passages of min_words words or more that stand at another place too.
 
     Words are numbered from 0 in each document, end_word excluded.  later: false for
     passages of which this is the first place, by (doc_id, word), of every stretch of
     min_words words in them; true for those to be removed so that one copy stays.
 
-    What repeats within one document alone isn't reported.  Null, empty and short
-    texts have no passage; rows without a doc_id are left out; rows that share a
-    doc_id are one document.  An empty table gives no rows.  Other columns are ignored.
+    The other place may be in the same document, and may overlap.  Null, empty and
+    short texts have no passage; rows without a doc_id are left out; rows that share a
+    doc_id are one document, so what stands at the same number of both is at one place.
+    An empty table gives no rows.  Other columns are ignored.
     """
     ship(docs.sparkSession)
     gram = max(1, min_words // 2)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
+        for batch in freed(batches):
             for part in slices(batch, 1):
                 words = words_of(part.column(1))
                 value, _, place = chosen_grams(words, min_words, gram)
@@ -225,27 +243,42 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
                 ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(value[place].view(np.int64)), pa.array((place - words.offsets[row]).astype(np.int32))], names=["doc_id", "gram", "word"])
 
-    grams = docs.mapInArrow(choose, "doc_id long, gram long, word int")
-    same = Window.partitionBy("gram")
-    shared = grams.withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).where("low < high")
-    places = written(shared.groupBy("doc_id").agg(F.collect_set("word").alias("places")).withColumnRenamed("doc_id", "in_doc"), "grams")
+    grams = written(docs.mapInArrow(choose, "doc_id long, gram long, word int"), "grams")
+    of_gram = grams.groupBy("gram").agg(F.count("*").alias("held"), *(f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("doc_id", "word")))
+    shared = written(of_gram.where("low_doc_id < high_doc_id OR low_word < high_word").select("gram", (F.col("held") > HOT_PLACES).alias("hot")), "shared")
+    some_hot = not shared.where("hot").isEmpty()
+    places = written(grams.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("word", "hot")).alias("places")).withColumnRenamed("doc_id", "in_doc"), "places")
+    discard(grams, shared)
+
+    names = ["gram", "doc_id", "word", "offset", "windows", "text", "second"]
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, 1):
                 words = words_of(part.column(1))
                 value, start, place = chosen_grams(words, min_words, gram)
                 wanted = part.column(2)
                 count = wanted.value_lengths().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(part.num_rows), count)
-                at = np.unique(wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + words.offsets[row])
+                fields = wanted.flatten()
+                at, one = np.unique(fields.field("word").to_numpy(zero_copy_only=False).astype(np.int64) + words.offsets[row], return_index=True)
+                hot = fields.field("hot").to_numpy(zero_copy_only=False).astype(bool)[one]
                 low, high = np.searchsorted(place, at, side="left"), np.searchsorted(place, at, side="right")
                 known = high > low  # of rows that share a doc_id, each has its own grams
-                at, low, high = at[known], low[known], high[known]
+                at, low, high, hot = at[known], low[known], high[known], hot[known]
+                ids = part.column(0).to_numpy()
+                if hot.any():
+                    # every passage by itself
+                    span = (high - low)[hot]
+                    own = start[np.repeat(low[hot] - (np.cumsum(span) - span), span) + np.arange(int(span.sum()))]
+                    row = np.searchsorted(words.offsets, own, side="right") - 1
+                    first_hash, second_hash = (cut_hash(prefix_hash(v), own, own + min_words).view(np.int64) for v in (words.hashes, mix64(words.hashes)))
+                    none = pa.nulls(len(own), pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(first_hash), pa.array(ids[row]), pa.array((own - words.offsets[row]).astype(np.int32)), none, none, pa.nulls(len(own), pa.string()), pa.array(second_hash)], names=names)
+                at, low, high = at[~hot], low[~hot], high[~hot]
                 row = np.searchsorted(words.offsets, at, side="right") - 1
                 first, last = start[low], start[high - 1] + min_words - 1
                 text = [words.data[a:b].tobytes().decode() for a, b in zip(words.start[first].tolist(), words.end[last].tolist(), strict=True)]
-                ids = part.column(0).to_numpy()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(value[at].view(np.int64)),
@@ -254,11 +287,20 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
                         pa.array((at - first).astype(np.int32)),
                         pa.array((high - low).astype(np.int32)),
                         pa.array(text, pa.string()),
+                        pa.nulls(len(at), pa.int64()),
                     ],
-                    names=["gram", "doc_id", "word", "offset", "windows", "text"],
+                    names=names,
                 )
 
-    stretches = docs.join(places, F.col("doc_id") == F.col("in_doc")).select("doc_id", "text", "places").mapInArrow(around, "gram long, doc_id long, word int, offset int, windows int, text string")
+    stretches = docs.join(places, F.col("doc_id") == F.col("in_doc")).select("doc_id", "text", "places").mapInArrow(around, "gram long, doc_id long, word int, offset int, windows int, text string, second long")
+    hot_spans = None
+    if some_hot:
+        stretches = written(stretches, "stretches")
+        alone = stretches.where("second IS NOT NULL").select("gram", "second", "doc_id", "word")
+        firsts = alone.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "word")).alias("low"), F.max(F.struct("doc_id", "word")).alias("high")).where("low < high")
+        hot_spans = alone.join(firsts, ["gram", "second"]).select("doc_id", F.col("word").alias("start_word"), (F.col("word") + min_words).cast("int").alias("end_word"), (F.struct("doc_id", "word") != F.col("low")).alias("later")).distinct()
+        stretches = stretches.where("second IS NULL")
+    stretches = stretches.drop("second")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[dict[tuple[bytes, int, int], _Stretch]] = []
@@ -269,9 +311,10 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
             doc, start, end, later = zip(*spans, strict=True) if spans else ((), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(later, pa.bool_())], names=["doc_id", "start_word", "end_word", "later"])
 
-        for batch in batches:
+        for batch in freed(batches):
             for part in slices(batch, 5):
                 words = words_of(part.column(5))
+                letters, at = spaced(words)
                 gram_, doc, word, offset, windows = (part.column(i).to_pylist() for i in range(5))
                 for i in range(part.num_rows):
                     if gram_[i] != current:
@@ -280,16 +323,19 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
                             done, held = [], 0
                         current = gram_[i]
                         done.append({})
-                    own = words.hashes[words.offsets[i] : words.offsets[i + 1]]
-                    key = (own.tobytes(), offset[i], windows[i])
+                    a, b = words.offsets[i], words.offsets[i + 1]
+                    text = letters[at[a] : at[b]].tobytes()
+                    key = (text, offset[i], windows[i])
                     stretch = done[-1].get(key)
                     if stretch is None:
-                        stretch = done[-1][key] = _Stretch(own.copy(), offset[i], windows[i])
-                        held += len(own)
+                        stretch = done[-1][key] = _Stretch(words.hashes[a:b].copy(), text, at[a : b + 1] - at[a], offset[i], windows[i])
+                        held += b - a
                     stretch.places.append((doc[i], word[i]))
         yield result()
 
-    spans = written(stretches.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "doc_id long, start_word int, end_word int, later boolean"), "spans")
+    spans = stretches.repartition("gram").sortWithinPartitions("gram").mapInArrow(sort, "doc_id long, start_word int, end_word int, later boolean")
+    spans = written(spans if hot_spans is None else spans.union(hot_spans), "spans")
+    discard(places)
     order = Window.partitionBy("doc_id", "later").orderBy("start_word", "end_word")
     reach = F.max("end_word").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("fresh", (F.coalesce(reach, F.lit(-1)) < F.col("start_word")).cast("int")).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))

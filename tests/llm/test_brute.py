@@ -288,12 +288,13 @@ def test_token_counts_are_those_of_the_library(spark):
 # 8
 
 
-def test_passages(spark):
+def test_passages(spark, monkeypatch):
     rng = random.Random(10)
     passage, other = sentence(rng, 70), sentence(rng, 52)
     texts = [None, "", sentence(rng, 49), sentence(rng, 200)]
     texts += [f"{sentence(rng, 30)} {passage} {sentence(rng, 12)}" for _ in range(3)] + [passage.upper(), " ".join(passage.split()[:55]), f"{other} {sentence(rng, 60)}", f"{sentence(rng, 3)} {other}", f"{passage} {sentence(rng, 5)}"]
-    texts += [" ".join(["same"] * 120), " ".join(["same"] * 60), sentence(rng, 80)]
+    twice = sentence(rng, 60)
+    texts += [f"{twice} {sentence(rng, 5)} {twice}", " ".join(["same"] * 120), " ".join(["same"] * 60), sentence(rng, 80)]
     docs = docs_of(spark, texts)
     at = {}
     for d, t in enumerate(texts):
@@ -302,14 +303,24 @@ def test_passages(spark):
             at.setdefault(tuple(own[i : i + 50]), []).append((d, i))
     want = {}
     for places in at.values():
-        if len({d for d, _ in places}) > 1:
+        if len(places) > 1:
             for d, i in places:
                 want.setdefault(d, set()).update(range(i, i + 50))
-    got = {}
-    for r in repeats.repeated_passages(docs).collect():
-        assert r.words == r.end_word - r.start_word >= 50
-        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
-    assert got == want and len(want) >= 8
+    firsts = {min(places) for places in at.values() if len(places) > 1}
+    later = {}
+    for places in at.values():
+        for d, i in places:
+            if len(places) > 1 and (d, i) not in firsts:
+                later.setdefault(d, set()).update(range(i, i + 50))
+    for hot in (repeats.HOT_PLACES, 3, 0):
+        monkeypatch.setattr(repeats, "HOT_PLACES", hot)
+        got, removed = {}, {}
+        for r in repeats.repeated_passages(docs).collect():
+            assert r.words == r.end_word - r.start_word >= 50
+            got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+            if r.later:
+                removed.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+        assert got == want and removed == later and len(want) >= 9
     assert repeats.repeated_passages(docs.limit(0)).count() == 0
 
 
