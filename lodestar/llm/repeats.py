@@ -151,12 +151,12 @@ def spaced(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-def _spans(groups: list[list[_Stretch]], min_words: int) -> Iterator[tuple[int, int, int, bool]]:
+def _spans(groups: list[list[_Stretch]], min_words: int, within: bool) -> Iterator[tuple[int, int, int, bool]]:
     """(doc_id, start, end, later) of the passages in groups of stretches that chose the same gram."""
     several = [g for g in groups if len(g) > 1]
     for (only,) in (g for g in groups if len(g) == 1):
         first = min(only.places)
-        if any(place != first for place in only.places):
+        if any(place != first if within else place[0] != first[0] for place in only.places):
             for place in only.places:
                 yield place[0], place[1], place[1] + only.windows - 1 + min_words, place != first
     if not several:
@@ -183,7 +183,8 @@ def _spans(groups: list[list[_Stretch]], min_words: int) -> Iterator[tuple[int,
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         members = order[a:b].tolist()
         where, best = min(((low[owner[i]][0], low[owner[i]][1] + int(window[i])), i) for i in members)
-        if where == max((high[owner[i]][0], high[owner[i]][1] + int(window[i])) for i in members):
+        last = max((high[owner[i]][0], high[owner[i]][1] + int(window[i])) for i in members)
+        if (where if within else where[0]) == (last if within else last[0]):
             continue
         repeated[members] = True
         firsts[owner[best]][int(window[best])] = where
@@ -217,14 +218,15 @@ def _runs(mask: list[bool]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS, within: bool = True) -> DataFrame:
     """(doc_id, start_word, end_word, words, later) of the passages of min_words words or more that stand at another place too.
 
     Words are numbered from 0 in each document, end_word excluded.  later: false for
     passages of which this is the first place, by (doc_id, word), of every stretch of
     min_words words in them; true for those to be removed so that one copy stays.
 
-    The other place may be in the same document, and may overlap.  Null, empty and
+    The other place may be in the same document, and may overlap; where within is
+    false, some other place must be in another document.  Null, empty and
     short texts have no passage; rows without a doc_id are left out; rows that share a
     doc_id are one document, so what stands at the same number of both is at one place.
     An empty table gives no rows.  Other columns are ignored.
@@ -245,7 +247,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
 
     grams = written(docs.mapInArrow(choose, "doc_id long, gram long, word int"), "grams")
     of_gram = grams.groupBy("gram").agg(F.count("*").alias("held"), *(f(c).alias(f"{name}_{c}") for name, f in (("low", F.min), ("high", F.max)) for c in ("doc_id", "word")))
-    shared = written(of_gram.where("low_doc_id < high_doc_id OR low_word < high_word").select("gram", (F.col("held") > HOT_PLACES).alias("hot")), "shared")
+    shared = written(of_gram.where("low_doc_id < high_doc_id OR low_word < high_word" if within else "low_doc_id < high_doc_id").select("gram", (F.col("held") > HOT_PLACES).alias("hot")), "shared")
     some_hot = not shared.where("hot").isEmpty()
     places = written(grams.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("word", "hot")).alias("places")).withColumnRenamed("doc_id", "in_doc"), "places")
     discard(grams, shared)
@@ -297,7 +299,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
     if some_hot:
         stretches = written(stretches, "stretches")
         alone = stretches.where("second IS NOT NULL").select("gram", "second", "doc_id", "word")
-        firsts = alone.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "word")).alias("low"), F.max(F.struct("doc_id", "word")).alias("high")).where("low < high")
+        firsts = alone.groupBy("gram", "second").agg(F.min(F.struct("doc_id", "word")).alias("low"), F.max(F.struct("doc_id", "word")).alias("high")).where("low < high" if within else "low.doc_id < high.doc_id")
         hot_spans = alone.join(firsts, ["gram", "second"]).select("doc_id", F.col("word").alias("start_word"), (F.col("word") + min_words).cast("int").alias("end_word"), (F.struct("doc_id", "word") != F.col("low")).alias("later")).distinct()
         stretches = stretches.where("second IS NULL")
     stretches = stretches.drop("second")
@@ -307,7 +309,7 @@ def repeated_passages(docs: DataFrame, *, min_words: int = MIN_WORDS) -> DataFra
         current, held = None, 0
 
         def result() -> pa.RecordBatch:
-            spans = list(_spans([list(g.values()) for g in done], min_words))
+            spans = list(_spans([list(g.values()) for g in done], min_words, within))
             doc, start, end, later = zip(*spans, strict=True) if spans else ((), (), (), ())
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(later, pa.bool_())], names=["doc_id", "start_word", "end_word", "later"])
 
