@@ -13,10 +13,11 @@
    of their hashed tokens: a bit that differs stands for a token that one alone has.
    Pairs left are compared once more by a map of four times 64 bits.
    The sets of a token that is frequent are parted in blocks, any two of which meet
-   in a task of their own.
+   in a bucket of their own.  Prefixes travel packed by buckets of tokens, not row by row.
 5. The candidates of a line are verified on full token sets from the earliest one
    on, in rounds of growing length, until one matches: what comes after it needs no
-   look.  Each line's text is fetched once, for all rounds.
+   look.  Each line's text is fetched once, for all rounds, and only texts of lines
+   that have candidates are; they make the larger maps, too.
 
 A line is removed if an earlier line, by (doc_id, position), has a Jaccard of the
 threshold at least with it, whether or not that earlier line is itself removed.
@@ -41,16 +42,23 @@ THRESHOLD = 0.8
 #: Counters of token frequencies.
 COUNTERS = 1 << 21
 COUNTER_PARTS = 16
-#: Pairs looked at side by side, and rows of the prefix index in hand; the rows of one token aren't parted.
+#: Pairs looked at side by side, rows of the prefix index that a task packs at once, and rows of a bucket of it, which is in hand as a whole.
 PAIRS = 1 << 17
-PREFIX_ROWS = 1 << 17
+PREFIX_ROWS = 1 << 19
+BUCKET_ROWS = 1 << 18
 #: A token of more occurrences in the corpus has its sets parted in blocks, one for each so many occurrences.
 HOT = 1 << 20
 BLOCKS = 32
 #: Candidates of a line that one task verifies.
 CHUNK = 4096
-#: Bits of a set's size, and of a token's place in it, in one packed integer.
-SHAPE_BITS = 26
+#: Bits of a set's size, and of size and part together, in a key of the prefix index.
+SIZE_BITS = 26
+KEY_BITS = SIZE_BITS + 2 * (BLOCKS - 1).bit_length()
+#: Columns of the prefix index.
+PACKED = [("key", "<u8"), ("place", "<u4"), ("block", "u1"), ("id", "<u8"), ("parity", "<u8")]
+#: Bits, at most, that tell the places of lines whose texts are fetched, and parts they are gathered in.
+PLACE_BITS = 1 << 27
+PLACE_PARTS = 16
 #: 64-bit words of the larger map of a set's parities.
 WIDE = 4
 WIDE_NAMES = [f"wide{k}" for k in range(WIDE)]
@@ -74,33 +82,38 @@ def counter_of(tokens: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Sets:
-    """Distinct tokens of lines, sorted within each; name: a 64-bit sum that names a line's set (0 if empty); parity: its map; wide: the larger one, by columns."""
+    """Distinct tokens of lines, sorted within each; name: a 64-bit sum that names a line's set (0 if empty); wide: its map of parities, by columns."""
 
     token: np.ndarray
     row: np.ndarray
     bounds: np.ndarray
     size: np.ndarray
     name: np.ndarray
-    parity: np.ndarray
     wide: np.ndarray
     all_tokens: np.ndarray
 
 
+def names_of(token: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The names of sets of distinct tokens, whatever the order within each."""
+    name = np.zeros(len(bounds) - 1, dtype=np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if len(full):
+        name[full] = np.add.reduceat(mix64(token), bounds[:-1][full])
+    return name
+
+
 def token_sets(lines: pa.Array, *, with_wide: bool = False) -> Sets:
     words = words_of(lines)
     n = len(lines)
     token, row, bounds = distinct_in_rows(np.repeat(np.arange(n), np.diff(words.offsets)), words.hashes, n)
     size = np.diff(bounds)
     full = np.flatnonzero(size)
-    name, parity, wide = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64), np.zeros((WIDE, n), dtype=np.uint64)
-    if len(full):
-        name[full] = np.add.reduceat(mix64(token), bounds[:-1][full])
-        parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), bounds[:-1][full])
-        if with_wide:
-            bit, word = np.uint64(1) << ((token >> np.uint64(6)) & np.uint64(63)), (token >> np.uint64(12)) % np.uint64(WIDE)
-            for k in range(WIDE):
-                wide[k, full] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[:-1][full])
-    return Sets(token, row, bounds, size, name, parity, wide, words.hashes)
+    wide = np.zeros((WIDE, n), dtype=np.uint64)
+    if with_wide and len(full):
+        bit, word = np.uint64(1) << ((token >> np.uint64(6)) & np.uint64(63)), (token >> np.uint64(12)) % np.uint64(WIDE)
+        for k in range(WIDE):
+            wide[k, full] = np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), bounds[:-1][full])
+    return Sets(token, row, bounds, size, names_of(token, bounds), wide, words.hashes)
 
 
 def prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -117,7 +130,7 @@ def _scan(docs: DataFrame) -> DataFrame:
         for batch in freed(batches):
             for part in slices(batch, 1):
                 text, offsets = split_lines(part.column(1))
-                sets = token_sets(text, with_wide=True)
+                sets = token_sets(text)
                 np.add.at(total, counter_of(sets.all_tokens), 1)
                 full = np.flatnonzero(sets.size)
                 row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
@@ -127,19 +140,18 @@ def _scan(docs: DataFrame) -> DataFrame:
                     (np.arange(len(row)) - offsets[:-1][row])[full].astype(np.int32),
                     sets.name[full].view(np.int64),
                     sets.size[full].astype(np.int32),
-                    *(w[full].view(np.int64) for w in sets.wide),
                     pa.nulls(len(full), pa.binary()),
                 )
         width = COUNTERS // COUNTER_PARTS
         none = pa.nulls(COUNTER_PARTS, pa.int64())
         counts = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(COUNTER_PARTS)]
-        yield _batch(none, none, pa.nulls(COUNTER_PARTS, pa.int32()), none, pa.array(range(COUNTER_PARTS), pa.int32()), *([none] * WIDE), pa.array(counts, pa.binary()))
+        yield _batch(none, none, pa.nulls(COUNTER_PARTS, pa.int32()), none, pa.array(range(COUNTER_PARTS), pa.int32()), pa.array(counts, pa.binary()))
 
-    return docs.mapInArrow(scan, f"doc_id long, text_hash long, line int, id long, size int, {', '.join(f'{w} long' for w in WIDE_NAMES)}, counts binary")
+    return docs.mapInArrow(scan, "doc_id long, text_hash long, line int, id long, size int, counts binary")
 
 
 def _batch(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc_id", "text_hash", "line", "id", "size", *WIDE_NAMES, "counts"])
+    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["doc_id", "text_hash", "line", "id", "size", "counts"])
 
 
 def _frequencies(scanned: DataFrame) -> np.ndarray:
@@ -171,73 +183,114 @@ def blocks_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(counts / HOT), BLOCKS).astype(np.int64)
 
 
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of the types of PACKED, byte plane by byte plane: planes that hardly vary cost little once they are compressed."""
+    return b"".join(c.astype(kind, copy=False).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, (_, kind) in zip(columns, PACKED, strict=True))
+
+
+def unpack(data: bytes | memoryview) -> list[np.ndarray]:
+    widths = [np.dtype(kind).itemsize for _, kind in PACKED]
+    n, at, out = len(data) // sum(widths), 0, []
+    for width, (_, kind) in zip(widths, PACKED, strict=True):
+        planes = np.frombuffer(data, dtype=np.uint8, count=n * width, offset=at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+def buckets_of(counts: np.ndarray, threshold: float) -> int:
+    """Buckets of the prefix index, each of about BUCKET_ROWS rows at most as long as no token alone has more."""
+    return int(np.ceil(counts.sum() * min(1.0, 1.25 * (1 - threshold)) / BUCKET_ROWS)) + 1
+
+
 def _prefixes(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(token, shape, id, parity) of the prefix tokens of every line.
+    """(bucket, data): the prefix tokens of every line, packed by buckets of tokens; see PACKED.
 
-    shape holds, from the highest bits on, the part, the set's size, and the token's
-    place in the set, rarest first.  part: the two blocks of sets that meet,
-    first * BLOCKS + second; 0 for tokens that aren't parted.
+    key holds, from the highest bits on, bits of the token's hash, the part, and the
+    set's size; place: the token's in the set, rarest first.  part: the two blocks of
+    sets that meet, first * BLOCKS + second; 0 for tokens that aren't parted.  block:
+    the set's own.  Tokens of one bucket whose bits are the same only make candidates more.
     """
     # 3 bytes a counter, whatever the size of the corpus
     shared = docs.sparkSession.sparkContext.broadcast((rank_of(counts), blocks_of(counts).astype(np.uint8)))
+    buckets = np.uint64(buckets_of(counts, threshold))
 
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(lines: pa.Array) -> list[np.ndarray]:
         rank_by_counter, blocks_by_counter = shared.value
+        words = words_of(lines)
+        n = len(lines)
+        row = np.repeat(np.arange(n), np.diff(words.offsets))
+        rank = rank_by_counter[counter_of(words.hashes)]
+        order = order_in_rows(row, words.hashes, rank)
+        token, row, rank = words.hashes[order], row[order], rank[order]
+        first = np.ones(len(token), dtype=bool)
+        first[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
+        token, row, rank = token[first], row[first], rank[first]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+        size, name, parity = np.diff(bounds), names_of(token, bounds), np.zeros(n, dtype=np.uint64)
+        full = np.flatnonzero(size)
+        if len(full):
+            parity[full] = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), bounds[:-1][full])
+        # the same set within a slice goes out once
+        once = np.zeros(n, dtype=bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        place = np.arange(len(token)) - bounds[:-1][row]
+        chosen = np.flatnonzero((place < np.where(once, prefix_length(size, threshold), 0)[row]) & (rank > 0))
+        owner, token, place = row[chosen], token[chosen], place[chosen]
+        blocks = np.maximum(blocks_by_counter[counter_of(token)].astype(np.int64), 1)
+        mine = (mix64(name[owner]) % blocks.astype(np.uint64)).astype(np.int64)
+        # a set meets those of every block, its own too
+        again = np.repeat(np.arange(len(token)), blocks)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        mine, owner = mine[again], owner[again]
+        part = (np.minimum(mine, other) * BLOCKS + np.maximum(mine, other)).astype(np.uint64)
+        mixed = mix64(token[again] + part * np.uint64(0x9E3779B97F4A7C15))
+        key = (mixed >> np.uint64(KEY_BITS) << np.uint64(KEY_BITS)) | (part << np.uint64(SIZE_BITS)) | size[owner].astype(np.uint64)
+        return [(mixed & np.uint64((1 << KEY_BITS) - 1)) % buckets, key, place[again], mine, name[owner], parity[owner]]
+
+    def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        bucket, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((columns[0], bucket))
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        edges = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
+        data = [pack([c[i:j] for c in columns]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in freed(batches):
             for piece in slices(batch, 1):
-                text, _ = split_lines(piece.column(1))
-                sets = token_sets(text)
-                # the same set within a slice goes out once
-                _, first = np.unique(sets.name, return_index=True)
-                once = np.zeros(len(sets.size), dtype=bool)
-                once[first] = True
-                kept = np.flatnonzero(once[sets.row])
-                token, row = sets.token[kept], sets.row[kept]
-                rank = rank_by_counter[counter_of(token)]
-                order = order_in_rows(row, token, rank)
-                first_of_row = np.ones(len(row), dtype=bool)
-                first_of_row[1:] = row[1:] != row[:-1]
-                begin = np.flatnonzero(first_of_row)
-                place = np.arange(len(row)) - np.repeat(begin, np.diff(np.append(begin, len(row))))
-                chosen = np.flatnonzero((place < prefix_length(sets.size, threshold)[row]) & (rank[order] > 0))
-                owner, token, place = row[chosen], token[order][chosen], place[chosen]
-                blocks = np.maximum(blocks_by_counter[counter_of(token)].astype(np.int64), 1)
-                mine = (mix64(sets.name[owner]) % blocks.astype(np.uint64)).astype(np.int64)
-                # a set meets those of every block, its own too
-                again = np.repeat(np.arange(len(token)), blocks)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                part = np.minimum(mine[again], other) * BLOCKS + np.maximum(mine[again], other)
-                owner = owner[again]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[again].view(np.int64)), pa.array(((part << SHAPE_BITS) | sets.size[owner]) << SHAPE_BITS | place[again]), pa.array(sets.name[owner].view(np.int64)), pa.array(sets.parity[owner].view(np.int64))],
-                    names=["token", "shape", "id", "parity"],
-                )
+                held.append(rows_of(split_lines(piece.column(1))[0]))
+                rows += len(held[-1][0])
+                if rows >= PREFIX_ROWS:
+                    yield packed(held)
+                    held, rows = [], 0
+        if rows:
+            yield packed(held)
 
-    return docs.mapInArrow(prefix, "token long, shape long, id long, parity long")
+    return docs.mapInArrow(prefix, "bucket int, data binary")
 
 
-def _candidates(prefixes: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
+def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
     """(x, y) of sets that share a prefix token and pass the filters, x the smaller one; a pair comes once for each such token."""
-    names = ["token", "shape", "id", "parity"]
-    shared = prefixes.sparkSession.sparkContext.broadcast(blocks_of(counts).astype(np.uint8))
-
-    def pairs_of(token: np.ndarray, shape: np.ndarray, name: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (token, shape, id)."""
-        fresh = np.ones(len(token), dtype=bool)
-        fresh[1:] = (token[1:] != token[:-1]) | (shape[1:] != shape[:-1]) | (name[1:] != name[:-1])  # lines of the same set are one
-        token, shape, name, parity = (c[fresh] for c in (token, shape, name, parity))
-        low = (1 << SHAPE_BITS) - 1
-        part, size, place = shape >> (2 * SHAPE_BITS), (shape >> SHAPE_BITS) & low, shape & low
-        blocks = np.maximum(shared.value[counter_of(token.view(np.uint64))].astype(np.uint64), np.uint64(1))
-        block = (mix64(name.view(np.uint64)) % blocks).astype(np.int64)
+
+    def pairs_of(key: np.ndarray, place: np.ndarray, block: np.ndarray, name: np.ndarray, parity: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((name, key))
+        key, place, block, name, parity = (c[order] for c in (key, place.astype(np.int64), block, name, parity))
+        fresh = np.ones(len(key), dtype=bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (place[1:] != place[:-1])  # lines of the same set are one
+        key, place, block, name, parity = (c[fresh] for c in (key, place, block, name, parity))
+        part = (key >> np.uint64(SIZE_BITS)).astype(np.int64) & (BLOCKS * BLOCKS - 1)
         apart = part // BLOCKS != part % BLOCKS  # two blocks, of which only sets of different ones meet here
-        group = np.cumsum(np.append(False, (token[1:] != token[:-1]) | (part[1:] != part[:-1])))
-        span = np.int64(1) << 32
-        longest = np.floor(size / threshold + 1e-9).astype(np.int64)
-        end = np.searchsorted(group * span + size, group * span + longest, side="right")
-        total = np.concatenate([[0], np.cumsum(end - np.arange(len(token)) - 1)])
+        size = (key & np.uint64((1 << SIZE_BITS) - 1)).astype(np.int64)
+        # the length filter, and the positional one for the smaller set: what is left of it from the token on bounds the larger one's size
+        longest = np.minimum(np.floor(size / threshold + 1e-9), np.floor((size - place) * (1 + threshold) / threshold + 1e-6) - size).astype(np.int64)
+        reach = np.clip(longest, 0, (1 << SIZE_BITS) - 1).astype(np.uint64)
+        end = np.searchsorted(key, (key - size.astype(np.uint64)) | reach, side="right")
+        total = np.concatenate([[0], np.cumsum(np.maximum(end - np.arange(len(key)) - 1, 0))])
         at = 0
-        while at < len(token):
+        while at < len(key):
             # as many rows as make about PAIRS pairs, one row at least
             stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, side="right")) - 1)
             count = np.diff(total[at : stop + 1])
@@ -245,36 +298,29 @@ def _candidates(prefixes: DataFrame, counts: np.ndarray, threshold: float) -> Da
             j = i + 1 + np.arange(len(i)) - np.repeat(total[at:stop] - total[at], count)
             both = size[i] + size[j]
             overlap = np.ceil(threshold / (1 + threshold) * both - 1e-9).astype(np.int64)
+            good = np.bitwise_count(parity[i] ^ parity[j]) <= both - 2 * overlap
+            i, j, overlap = i[good], j[good], overlap[good]
             good = np.minimum(size[i] - place[i], size[j] - place[j]) >= overlap
-            good &= np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)) <= both - 2 * overlap
-            good &= ~apart[i] | (block[i] != block[j])
+            good &= (name[i] != name[j]) & (~apart[i] | (block[i] != block[j]))
             i, j = i[good], j[good]
-            yield pa.RecordBatch.from_arrays([pa.array(name[i]), pa.array(name[j])], names=["x", "y"])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(name[i].view(np.int64)), pa.array(name[j].view(np.int64))], names=["x", "y"])
             at = stop
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        rows = 0
+        now = None
         for batch in freed(batches):
-            if not batch.num_rows:
-                continue
-            held.append([batch.column(n).to_numpy() for n in names])
-            rows += batch.num_rows
-            if rows < PREFIX_ROWS:
-                continue
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            # the last group may go on in the next batch
-            part = columns[1] >> (2 * SHAPE_BITS)
-            last = np.flatnonzero((columns[0] != columns[0][-1]) | (part != part[-1]))
-            edge = int(last[-1]) + 1 if len(last) else 0
-            if edge:
-                yield from pairs_of(*(c[:edge] for c in columns))
-            held, rows = [[c[edge:] for c in columns]], len(columns[0]) - edge
+            for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if held and bucket != now:
+                    yield from pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                    held = []
+                now = bucket
+                held.append(unpack(data.as_buffer()))
         if held:
             yield from pairs_of(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    together = prefixes.select(*names).repartition("token", F.shiftright("shape", 2 * SHAPE_BITS)).sortWithinPartitions("token", "shape", "id")
-    return together.mapInArrow(join, "x long, y long")
+    return prefixes.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(join, "x long, y long")
 
 
 def _verify(rows: DataFrame, threshold: float) -> DataFrame:
@@ -305,23 +351,65 @@ def _verify(rows: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(check, "late long, rank int, jaccard double")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the lines in pairs, once for each row of their doc_id that has them; rows that share a doc_id may offer other lines, so a text's set tells."""
-    wanted = pairs.select(F.col("late").alias("id"), F.col("late_first").alias("first")).union(pairs.select("early", "early_first")).distinct()
-    by_doc = wanted.groupBy(F.col("first.doc_id").alias("in_doc")).agg(F.collect_list(F.struct("id", F.col("first.line").alias("line"))).alias("wanted"))
-    offered = by_doc.join(docs, F.col("in_doc") == F.col("doc_id")).select(F.inline(F.expr("transform(wanted, w -> struct(w.id AS id, try_element_at(split(text, '\n', -1), w.line + 1) AS text))"))).where("text IS NOT NULL")
+def place_hash(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return mix64(mix64(doc_id.view(np.uint64)) + line.astype(np.uint64))
+
+
+def _places(known: DataFrame) -> np.ndarray:
+    """A bit for the hash of each set's first place, in bytes; their number has a bound, beyond which more places share a bit."""
+    bits = min(max(16 * known.count(), 1 << 16), PLACE_BITS)
+    bits = 1 << (bits - 1).bit_length()
+    width = bits // PLACE_PARTS
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = (place_hash(batch.column(0).to_numpy(), batch.column(1).to_numpy()) & np.uint64(bits - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((bit // width).astype(np.int32)), pa.array((bit % width).astype(np.int32))], names=["part", "bit"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k in np.unique(part).tolist():
+                total.setdefault(k, np.zeros(width, dtype=bool))[bit[part == k]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.packbits(x).tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    rows = known.select("first.doc_id", "first.line").mapInArrow(hashed, "part int, bit int").repartition(PLACE_PARTS, "part")
+    for part, found in rows.mapInArrow(gather, "part int, bits binary").toLocalIterator():
+        out[part * (width // 8) : (part + 1) * (width // 8)] = np.frombuffer(found, dtype=np.uint8)
+    return out
+
+
+def _texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, first, size, text, larger map) of the sets in known (id, first, size).
+
+    Of the documents only lines at a place whose bit is set go out.  Rows that share a
+    doc_id may offer other lines, so a text's set tells.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_places(known))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
         for batch in freed(batches):
             for part in slices(batch, 1):
-                yield part.filter(pa.array(token_sets(part.column(1)).name.view(np.int64) == part.column(0).to_numpy()))
+                text, offsets = split_lines(part.column(1))
+                row = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+                doc, line = part.column(0).to_numpy()[row], (np.arange(len(row)) - offsets[:-1][row]).astype(np.int32)
+                bit = (place_hash(doc, line) & np.uint64(8 * len(places) - 1)).astype(np.int64)
+                hit = np.flatnonzero(places[bit >> 3] & (128 >> (bit & 7)))
+                text = text.take(pa.array(hit))
+                sets = token_sets(text, with_wide=True)
+                columns = [sets.name.view(np.int64), doc[hit], line[hit], text, *(w.view(np.int64) for w in sets.wide)]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=["id", "doc_id", "line", "text", *WIDE_NAMES])
 
-    return offered.mapInArrow(named, "id long, text string")
+    picked = docs.mapInArrow(pick, f"id long, doc_id long, line int, text string, {', '.join(f'{w} long' for w in WIDE_NAMES)}")
+    there = (F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.line") == F.col("line"))
+    return picked.join(known, "id").where(there).select("id", "first", "size", "text", *WIDE_NAMES).dropDuplicates(["id"])
 
 
-def _earliest(docs: DataFrame, pairs: DataFrame, threshold: float) -> list[DataFrame]:
+def _earliest(texts: DataFrame, pairs: DataFrame, threshold: float) -> list[DataFrame]:
     """Tables (late, match, jaccard) of each line's earliest match, a table a round."""
-    texts = written(_texts(docs, pairs), "line-texts")
     longest = pairs.agg(F.max("rank")).first()[0] or 0
     found: list[DataFrame] = []
     low, high = 0, 1
@@ -338,7 +426,6 @@ def _earliest(docs: DataFrame, pairs: DataFrame, threshold: float) -> list[DataF
         found.append(written(named, "line-matches"))
         discard(now)
         low, high = high, high * GROWTH
-    discard(texts)
     return found
 
 
@@ -363,10 +450,14 @@ def _later(docs: DataFrame, threshold: float) -> DataFrame:
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     scanned = written(_scan(docs.withColumn("text_hash", F.xxhash64("text"))), "lines")
     lines = scanned.where("line IS NOT NULL").drop("counts")
-    sets = written(lines.groupBy("id", "size").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("held"), *(F.first(w).alias(w) for w in WIDE_NAMES)), "line-sets")
     counts = _frequencies(scanned)
-    candidates = written(_candidates(_prefixes(docs, counts, threshold), counts, threshold).distinct(), "line-candidates")
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("first").alias(f"{s}_first"), F.col("size").alias(f"{s}_size"), *(F.col(w).alias(f"{s}_{w}") for w in WIDE_NAMES))
+    candidates = written(_candidates(_prefixes(docs, counts, threshold), threshold).distinct(), "line-candidates")
+    sets = written(lines.groupBy("id").agg(F.first("size").alias("size"), F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("held")), "line-sets")
+    paired = candidates.select(F.explode(F.array("x", "y")).alias("id")).distinct()
+    known = written(sets.join(paired, "id").select("id", "first", "size"), "line-known")
+    texts = written(_texts(docs, known), "line-texts")
+    discard(known)
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("first").alias(f"{s}_first"), F.col("size").alias(f"{s}_size"), *(F.col(w).alias(f"{s}_{w}") for w in WIDE_NAMES))
     placed = candidates.join(side("x"), "x").join(side("y"), "y")
     both = F.col("x_size") + F.col("y_size")
     apart = sum(F.bit_count(F.col(f"x_{w}").bitwiseXOR(F.col(f"y_{w}"))) for w in WIDE_NAMES)
@@ -374,22 +465,17 @@ def _later(docs: DataFrame, threshold: float) -> DataFrame:
     ahead = F.col("x_first") < F.col("y_first")
     placed = placed.select(*(F.when(ahead, b).otherwise(a).alias(name) for name, a, b in (("late", F.col("x"), F.col("y")), ("late_first", F.col("x_first"), F.col("y_first")), ("early", F.col("y"), F.col("x")), ("early_first", F.col("y_first"), F.col("x_first")))))
     # sets whose firsts stand at one place, of rows that share a doc_id, aren't later than one another
-    placed = placed.where("early_first < late_first").withColumn("rank", F.row_number().over(Window.partitionBy("late").orderBy("early_first", "early")))
+    placed = placed.where("early_first < late_first").drop("late_first").withColumn("rank", F.row_number().over(Window.partitionBy("late").orderBy("early_first", "early")))
     pairs = written(placed, "line-pairs")
     discard(candidates)
     nearest = None
-    for table in _earliest(docs, pairs, threshold):
+    for table in _earliest(texts, pairs, threshold):
         nearest = table if nearest is None else nearest.union(table)
-    discard(pairs)
+    discard(pairs, texts)
     if nearest is None:
         nearest = sets.where("false").select(F.col("id").alias("late"), F.col("first").alias("match"), F.lit(1.0).alias("jaccard"))
     nearest = nearest.select(F.col("late").alias("id"), F.struct("match", "jaccard").alias("near"))
-    earliest = (
-        sets.join(nearest, "id", "left")
-        .where((F.col("held") > 1) | F.col("near").isNotNull())
-        .withColumn("best", F.coalesce("near", F.struct(F.col("first").alias("match"), F.lit(1.0).alias("jaccard"))))
-        .select("id", "best")
-    )
+    earliest = sets.where("held > 1").select("id", "first").join(nearest, "id", "full").select("id", F.coalesce("near", F.struct(F.col("first").alias("match"), F.lit(1.0).alias("jaccard"))).alias("best"))
     return (
         lines.join(earliest, "id")
         .where(F.struct("doc_id", "line") > F.col("best.match"))
