@@ -18,12 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import UNKNOWN_BYTES, input_bytes, ship, written
+from ..session import UNKNOWN_BYTES, input_bytes, ship, source_bytes, written
 
 DIRECTIONS = ("out", "in", "both")
 #: Limits of the adjacency that is broadcast: estimated bytes of the edges, and rows.
 LOCAL_BYTES = 512 << 20
 LOCAL_EDGES = 4_000_000
+#: Tables of so many bytes in all are looked at before they are written.
+SMALL_BYTES = 32 << 20
 #: Starts that walk side by side.
 STARTS = 64
 
@@ -120,6 +122,17 @@ def local_graph(adjacency: DataFrame, weighted: bool = False, limit: int | None
     return Graph.of(rows.column(0), rows.column(1), rows.column(2).to_numpy() if weighted else None)
 
 
+def held(adjacency: DataFrame, weighted: bool = False, limit: int | None = None, label: str = "adjacency") -> tuple[Graph | None, DataFrame]:
+    """(adjacency as a Graph or None, adjacency): what may be too large is written first and counted there, so that it is made once."""
+    limit = LOCAL_EDGES if limit is None else limit
+    if limit > 0 and source_bytes(adjacency) <= SMALL_BYTES:
+        graph = local_graph(adjacency, weighted, limit)
+        if graph is not None:
+            return graph, adjacency
+    table = written(adjacency, label)
+    return (local_graph(table, weighted, limit) if 0 < limit and table.count() <= limit else None), table
+
+
 def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None, *, local_edges: int | None = None) -> DataFrame:
     """(start, node, depth): all nodes that each start reaches in at most max_depth steps, by the fewest; itself at 0."""
     spark = adjacency.sparkSession

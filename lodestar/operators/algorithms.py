@@ -1,8 +1,8 @@
 """Degrees, connected components and PageRank of the graph that edges make.
 
-Where the edges are few enough for one machine (see adjacency.local_graph()) the
-iterations run on arrays there; else they are joins and aggregates, each round written
-to the shared folder.
+Where the edges are few enough for one machine (see adjacency.held()) the iterations
+run on arrays there; else on tables of numbers (see blocks), each round written to the
+shared folder.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .adjacency import check_direction, local_graph, of_relation, steps
+from . import blocks
+from .adjacency import check_direction, held, of_relation, steps
 
 
 def degree_centrality(edges: DataFrame, relation: str | None = None, direction: str = "both") -> DataFrame:
@@ -28,35 +29,20 @@ def degree_centrality(edges: DataFrame, relation: str | None = None, direction:
 def connected_components(edges: DataFrame, relation: str | None = None, *, local_edges: int | None = None) -> DataFrame:
     """(id, component) of every node at an edge, directions disregarded; a component is named by its least id."""
     edges = of_relation(edges, relation)
-    graph = local_graph(steps(edges, None, "both"), limit=local_edges)
+    graph, links = held(steps(edges, None, "out"), limit=local_edges, label="links")
     if graph is not None:
         label = np.arange(len(graph.names))
         source = np.repeat(label, np.diff(graph.begin))
         while len(source):
             low = label.copy()
             np.minimum.at(low, label[source], label[graph.to])
+            np.minimum.at(low, label[graph.to], label[source])
             low = low[low]
             if (low == label).all():
                 break
             label = low[label]
         return edges.sparkSession.createDataFrame(pa.table({"id": graph.names, "component": graph.names.take(pa.array(label))}))
-    links = edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).distinct()
-    links = written(links, "links")
-    nodes = written(links.select(F.col("u").alias("id")).union(links.select("v")).distinct(), "nodes")
-    state = None
-    while True:
-        # larger neighbours join the least neighbour; then all smaller ones join the least of them
-        both = links.union(links.select("v", "u")).where("u <> v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        links = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            roots = links.groupBy("u").agg(F.min("v").alias("v"))
-            return nodes.join(roots, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
-        state = now
+    return blocks.components(links, written(blocks.ends(links).distinct(), "nodes"))
 
 
 def pagerank(edges: DataFrame, relation: str | None = None, damping: float = 0.85, iterations: int = 50, tol: float = 1e-8, *, local_edges: int | None = None) -> DataFrame:
@@ -67,7 +53,7 @@ def pagerank(edges: DataFrame, relation: str | None = None, damping: float = 0.8
     """
     edges = of_relation(edges, relation)
     spark = edges.sparkSession
-    graph = local_graph(steps(edges, None, "out"), limit=local_edges)
+    graph, links = held(steps(edges, None, "out"), limit=local_edges, label="links")
     if graph is not None:
         n = len(graph.names)
         out = np.diff(graph.begin)
@@ -81,19 +67,4 @@ def pagerank(edges: DataFrame, relation: str | None = None, damping: float = 0.8
             if change < tol:
                 break
         return spark.createDataFrame(pa.table({"id": graph.names, "rank": rank}))
-    links = written(edges.groupBy(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).agg(F.count("*").alias("times")), "links")
-    outs = links.groupBy(F.col("src").alias("id")).agg(F.sum("times").alias("out"))
-    nodes = written(links.select(F.col("src").alias("id")).union(links.select("dst")).distinct().join(outs, "id", "left"), "nodes")
-    n = nodes.count()
-    if not n:
-        return spark.createDataFrame([], "id string, rank double")
-    ranks = written(nodes.withColumn("rank", F.lit(1 / n)), "ranks")
-    for _ in range(iterations):
-        dangling = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
-        moved = links.join(ranks, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("rank") / F.col("out") * F.col("times")).alias("moved"))
-        value = F.lit((1 - damping) / n) + damping * (F.coalesce("moved", F.lit(0.0)) + F.lit(dangling / n))
-        fresh = ranks.join(moved, F.col("id") == F.col("dst"), "left").select("id", "out", value.alias("rank"), F.abs(value - F.col("rank")).alias("change"))
-        ranks = written(fresh, "ranks")
-        if ranks.agg(F.sum("change")).first()[0] < tol:
-            break
-    return ranks.select("id", "rank")
+    return blocks.pagerank(links, written(blocks.ends(links).distinct(), "nodes"), damping, iterations, tol)

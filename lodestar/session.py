@@ -125,3 +125,9 @@ UNKNOWN_BYTES = 1 << 60
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes df reads, UNKNOWN_BYTES or more where it has none; no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def source_bytes(df: DataFrame) -> int:
+    """The bytes of the tables df reads, each time it reads them; those of rows made by the driver count too."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
