@@ -52,3 +52,38 @@ def matrix_distance(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         norms = np.sqrt(np.square(a).sum(1)[:, None] * np.square(b).sum(1)[None, :])
         out = 1 - np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
     return np.round(out, DECIMALS) + 0.0
+
+
+class Block:
+    """Vectors, 64-bit floats, ready to be compared with those of other blocks."""
+
+    def __init__(self, vectors: np.ndarray, metric: str):
+        self.vectors, self.metric = vectors, metric
+        self.squares = np.square(vectors).sum(1)
+        norms = np.sqrt(self.squares)
+        self.scaled = np.divide(vectors, norms[:, None], out=np.zeros_like(vectors), where=norms[:, None] > 0) if metric == "cosine" else vectors
+        finite = norms[np.isfinite(norms)]
+        self.reach = 1.0 if metric == "cosine" else float(finite.max()) if len(finite) else 0.0
+
+    def approximate(self, other: Block) -> tuple[np.ndarray, float]:
+        """(distances to the rows of other, by how much they may be off at most)."""
+        out = self.scaled @ other.scaled.T
+        if self.metric == "l2":
+            out *= -2
+            out += self.squares[:, None]
+            out += other.squares[None, :]
+        else:
+            np.subtract(1, out, out=out)
+        return out, 1e-9 * (1 + (self.reach + other.reach) ** 2)
+
+    def exact(self, other: Block, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+        """What matrix_distance() has at these places."""
+        dot = np.einsum("ij,ij->i", self.vectors[row], other.vectors[column])
+        if self.metric == "l2":
+            out = self.squares[row] + other.squares[column] - 2 * dot
+        elif self.metric == "ip":
+            out = 1 - dot
+        else:
+            norms = np.sqrt(self.squares[row] * other.squares[column])
+            out = 1 - np.divide(dot, norms, out=np.zeros_like(dot), where=norms > 0)
+        return np.round(out, DECIMALS) + 0.0

@@ -15,14 +15,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import check_metric, distance, matrix_distance
+from ..functions.distance import Block, check_metric, distance, matrix_distance
 from ..functions.metadata import predicate
-from ..session import input_bytes, ship, written
+from ..session import input_bytes, ship, spread, written
 
 #: Queries of this size at most are sent to all tasks; more are joined in blocks.
 BROADCAST_BYTES = 32 << 20
 #: Rows of one side in a block of that join.
 BLOCK_ROWS = 1024
+#: Blocks of queries that a task of that join has, and blocks of records it compares them with.
+TASK_QUERY_BLOCKS, TASK_BLOCKS = 32, 128
 
 
 def _matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
@@ -102,60 +104,131 @@ def batch_top_k(records: DataFrame, queries: DataFrame, k: int = 10, *, metric:
     queries = queries.where(F.col(query_vector).isNotNull()).select(F.col(query_id).alias("id"), F.col(query_vector).cast("array<double>").alias("vector"))
     kind, query_kind = records.schema["id"].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
     schema = f"query_id {query_kind}, id {kind}, score double"
-
-    def best(ids: pa.Array, vectors: np.ndarray, query_ids: pa.Array, query_vectors: np.ndarray) -> pa.RecordBatch:
-        score = matrix_distance(query_vectors, vectors, metric)
-        if exclude_self:
-            same = np.array(query_ids.to_pylist(), dtype=object)[:, None] == np.array(ids.to_pylist(), dtype=object)[None, :]
-            score = np.where(same, np.inf, score)
-        limit = np.partition(score, k - 1, axis=1)[:, k - 1 : k] if score.shape[1] > k else np.full((len(score), 1), np.finfo(float).max)
-        row, column = np.nonzero((score <= limit) & np.isfinite(score))
-        return pa.RecordBatch.from_arrays([query_ids.take(pa.array(row)), ids.take(pa.array(column)), pa.array(score[row, column])], names=["query_id", "id", "score"])
-
     if input_bytes(queries) <= broadcast_bytes:
-        held = queries.toArrow().combine_chunks()
-        if held.num_rows:
-            query_ids, vectors = held.column(0).combine_chunks(), _matrix(held.column(1).combine_chunks())
+        table = queries.toArrow().combine_chunks()
+        if table.num_rows:
+            query_ids, vectors = table.column(0).combine_chunks(), _matrix(table.column(1).combine_chunks())
         else:
-            query_ids, vectors = pa.array([], held.schema.field(0).type), np.zeros((0, 1))
+            query_ids, vectors = pa.array([], table.schema.field(0).type), np.zeros((0, 1))
         shared = spark.sparkContext.broadcast((query_ids, vectors))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids_, vectors_ = shared.value
+            nearest = [_Nearest(ids_.slice(a, BLOCK_ROWS), Block(vectors_[a : a + BLOCK_ROWS], metric), k, exclude_self) for a in range(0, len(ids_), BLOCK_ROWS)]
             for batch in batches:
-                ids_, vectors_ = shared.value
-                if batch.num_rows and len(ids_):
-                    for a in range(0, len(ids_), BLOCK_ROWS):
-                        yield best(batch.column(0), _matrix(batch.column(1)), ids_.slice(a, BLOCK_ROWS), vectors_[a : a + BLOCK_ROWS])
-
-        found = records.mapInArrow(scan, schema)
+                for a in range(0, batch.num_rows if nearest else 0, BLOCK_ROWS):
+                    part = batch.slice(a, BLOCK_ROWS)
+                    block = Block(_matrix(part.column(1)), metric)
+                    for one in nearest:
+                        one.see(part.column(0), block)
+            for one in nearest:
+                yield from one.found()
+
+        found = spread(records).mapInArrow(scan, schema)
     else:
-        left = _blocks(records).select(F.col("ids").alias("ids"), F.col("vectors").alias("vectors"))
-        right = _blocks(queries).select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"))
+        left, right = written(_blocks(records), "blocks"), written(_blocks(queries).withColumn("block", F.monotonically_increasing_id()), "blocks")
+        parts = max(1, -(-right.count() // TASK_QUERY_BLOCKS))
+        # a task has some blocks of queries and keeps their k nearest among many blocks of records
+        slices = max(-(-left.count() // TASK_BLOCKS), -(-3 * spark.sparkContext.defaultParallelism // parts))
+        left = left.repartition(slices)
+        right = right.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors"), F.col("dim").alias("query_dim"), "block").repartition(parts)
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nearest: dict[int, _Nearest] = {}
+            seen = block = None
             for batch in batches:
                 for i in range(batch.num_rows):
-                    ids_, vectors_, own, own_vectors = (batch.column(j)[i].values for j in range(4))
-                    yield best(ids_, _matrix(vectors_), own, _matrix(own_vectors))
+                    ids_, vectors_, dim, own, own_vectors, own_dim, number = (batch.column(j)[i] for j in range(7))
+                    # a block of records comes with each block of queries in turn
+                    if seen is None or not seen.equals(ids_):
+                        seen, block = ids_, Block(_unpacked(vectors_, dim), metric)
+                    number = number.as_py()
+                    if number not in nearest:
+                        nearest[number] = _Nearest(pa.concat_arrays([own.values]), Block(_unpacked(own_vectors, own_dim), metric), k, exclude_self)
+                    nearest[number].see(ids_.values, block)
+            for one in nearest.values():
+                yield from one.found()
 
         found = left.crossJoin(right).mapInArrow(meet, schema)
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+class _Nearest:
+    """The k nearest of the records seen, for each query of a block; ties go by id."""
+
+    def __init__(self, ids: pa.Array, block: Block, k: int, exclude_self: bool):
+        self.ids, self.block, self.k, self.exclude_self = ids, block, k, exclude_self
+        self.bound = np.full(len(ids), np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.pending = 0
+
+    def see(self, ids: pa.Array, block: Block) -> None:
+        score, off = self.block.approximate(block)
+        if self.exclude_self:
+            score[_same(self.ids, ids)] = np.inf
+        limit = self.bound + off
+        fresh = np.isinf(self.bound)
+        if fresh.any() and score.shape[1] > self.k:
+            limit[fresh] = np.partition(score[fresh], self.k - 1, axis=1)[:, self.k - 1] + 2 * off
+        row, column = np.divmod(np.flatnonzero(score <= np.where(np.isnan(limit), np.inf, limit)[:, None]), score.shape[1])
+        if self.exclude_self:
+            other = np.isfinite(score[row, column])
+            row, column = row[other], column[other]
+        exact = self.block.exact(block, row, column)
+        good = np.isfinite(exact)
+        self.held.append((row[good], exact[good], ids.take(pa.array(column[good]))))
+        self.pending += len(row)
+        if fresh.any() or self.pending > 2 * self.k * len(self.ids):
+            self._cut()
+
+    def _cut(self) -> None:
+        row, score = (np.concatenate([x[i] for x in self.held]) for i in range(2))
+        ids = pa.concat_arrays([x[2] for x in self.held])
+        order = pc.sort_indices(pa.table({"row": row, "score": score, "id": ids}), [("row", "ascending"), ("score", "ascending"), ("id", "ascending")]).to_numpy()
+        row = row[order]
+        begin = np.searchsorted(row, np.arange(len(self.ids) + 1))
+        kept = order[np.arange(len(row)) - begin[row] < self.k]
+        score = score[kept]
+        full = np.diff(begin) >= self.k
+        row = row[np.arange(len(row)) - begin[row] < self.k]
+        self.bound[full] = score[np.searchsorted(row, np.flatnonzero(full), "right") - 1]
+        self.held, self.pending = [(row, score, ids.take(pa.array(kept)))], 0
+
+    def found(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._cut()
+            row, score, ids = self.held[0]
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(row)), ids, pa.array(score)], names=["query_id", "id", "score"])
+
+
+def _same(a: pa.Array, b: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Where a value of a is one of b."""
+    codes = pa.chunked_array([a, b.cast(a.type)]).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+    x, y = codes[: len(a)], codes[len(a) :]
+    order = np.argsort(y, kind="stable")
+    begin, end = (np.searchsorted(y[order], x, side) for side in ("left", "right"))
+    count = end - begin
+    return np.repeat(np.arange(len(x)), count), order[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+
+
 def _blocks(side: DataFrame) -> DataFrame:
-    """(ids, vectors): arrays of up to BLOCK_ROWS rows of (id, vector)."""
+    """(ids, vectors, dim): up to BLOCK_ROWS rows of (id, vector) each, the vectors packed."""
     kind = side.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, BLOCK_ROWS):
                 part = batch.slice(a, BLOCK_ROWS)
-                edge = pa.array([0, part.num_rows], pa.int32())
-                ids = pa.concat_arrays([part.column(0)])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(edge, ids), pa.ListArray.from_arrays(edge, pa.concat_arrays([part.column(1)]))], names=["ids", "vectors"])
+                vectors = _matrix(part.column(1))
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([part.column(0)]))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([vectors.tobytes()], pa.binary()), pa.array([vectors.shape[1]], pa.int32())], names=["ids", "vectors", "dim"])
+
+    return side.mapInArrow(pack, f"ids array<{kind}>, vectors binary, dim int")
+
 
-    return side.mapInArrow(pack, f"ids array<{kind}>, vectors array<array<double>>")
+def _unpacked(vectors: pa.BinaryScalar, dim: pa.Int32Scalar) -> np.ndarray:
+    return np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, dim.as_py())
 
 
 def recommend(records: DataFrame, ids: DataFrame, k: int = 10, *, metric: str = "cosine", id_column: str = "id", vector_column: str = "embedding") -> DataFrame:
@@ -171,23 +244,27 @@ def near_pairs(records: DataFrame, threshold: float, *, metric: str = "cosine",
     side = records.where(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).cast("array<double>").alias("vector"))
     kind = side.schema["id"].dataType.simpleString()
     blocks = written(_blocks(side).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    left = blocks.select("ids", "vectors", "block")
-    right = blocks.select(F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"), F.col("block").alias("block_b"))
+    left = blocks.select("ids", "vectors", "dim", "block")
+    right = blocks.select(F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"), F.col("dim").alias("dim_b"), F.col("block").alias("block_b"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                a, va, b, vb = (batch.column(j)[i].values for j in range(4))
-                score = matrix_distance(_matrix(va), _matrix(vb), metric)
-                if batch.column(4)[i].as_py():
-                    score = np.where(np.tri(len(score), dtype=bool), np.inf, score)  # each pair once
-                row, column = np.nonzero(score < threshold)
-                x, y = a.take(pa.array(row)), b.take(pa.array(column))
-                turned = pc.greater(x, y)
-                yield pa.RecordBatch.from_arrays([pc.if_else(turned, y, x), pc.if_else(turned, x, y), pa.array(score[row, column])], names=["id_a", "id_b", "score"])
+                a, va, da, b, vb, db, own = (batch.column(j)[i] for j in range(7))
+                x, y = Block(_unpacked(va, da), metric), Block(_unpacked(vb, db), metric)
+                score, off = x.approximate(y)
+                row, column = np.divmod(np.flatnonzero(score < threshold + off), score.shape[1])
+                if own.as_py():
+                    later = row < column  # each pair once
+                    row, column = row[later], column[later]
+                score = x.exact(y, row, column)
+                near = score < threshold
+                p, q = a.values.take(pa.array(row[near])), b.values.take(pa.array(column[near]))
+                turned = pc.greater(p, q)
+                yield pa.RecordBatch.from_arrays([pc.if_else(turned, q, p), pc.if_else(turned, p, q), pa.array(score[near])], names=["id_a", "id_b", "score"])
 
     # two blocks meet once
-    met = left.join(right, F.col("block") <= F.col("block_b")).select("ids", "vectors", "ids_b", "vectors_b", (F.col("block") == F.col("block_b")).alias("own"))
+    met = left.join(right, F.col("block") <= F.col("block_b")).select("ids", "vectors", "dim", "ids_b", "vectors_b", "dim_b", (F.col("block") == F.col("block_b")).alias("own"))
     return met.mapInArrow(meet, f"id_a {kind}, id_b {kind}, score double").where("id_a < id_b")
 
 
