@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import UNKNOWN_BYTES, input_bytes, ship, source_bytes, written
+from ..session import UNKNOWN_BYTES, input_bytes, part_finely, ship, source_bytes, written
 
 DIRECTIONS = ("out", "in", "both")
 #: Limits of the adjacency that is broadcast: estimated bytes of the edges, and rows.
@@ -125,6 +125,7 @@ def local_graph(adjacency: DataFrame, weighted: bool = False, limit: int | None
 def held(adjacency: DataFrame, weighted: bool = False, limit: int | None = None, label: str = "adjacency") -> tuple[Graph | None, DataFrame]:
     """(adjacency as a Graph or None, adjacency): what may be too large is written first and counted there, so that it is made once."""
     limit = LOCAL_EDGES if limit is None else limit
+    part_finely(adjacency)
     if limit > 0 and source_bytes(adjacency) <= SMALL_BYTES:
         graph = local_graph(adjacency, weighted, limit)
         if graph is not None:
@@ -140,7 +141,8 @@ def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None, *, loc
     starts = starts.select(F.col(starts.columns[0]).cast("string").alias("start")).where("start IS NOT NULL")
     # many partitions for few bytes: a walk costs more than its start weighs
     starts = starts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "start").distinct()
-    graph = local_graph(adjacency, limit=local_edges)
+    # steps that repeat are joined as they are: those of a frontier are few, to part all from their like is not
+    graph, adjacency = held(adjacency, limit=local_edges)
     if graph is not None:
         ship(spark)
         shared = spark.sparkContext.broadcast(graph)  # within LOCAL_EDGES
@@ -164,8 +166,6 @@ def reach(adjacency: DataFrame, starts: DataFrame, max_depth: int | None, *, loc
                     )
 
         return starts.mapInArrow(walk, "start string, node string, depth int")
-    adjacency = adjacency.distinct()
-    adjacency = written(adjacency, "adjacency")
     frontier = written(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")), "level")
     visited, d = frontier, 0
     while max_depth is None or d < max_depth:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import kind_of, predicate, raw_value
 from ..session import written
-from .adjacency import Graph, check_direction, local_graph, of_relation, reach, steps
+from .adjacency import Graph, check_direction, held, local_graph, of_relation, reach, steps
 from .vector import top_k
 
 
@@ -79,14 +79,12 @@ def shortest_path(edges: DataFrame, source: str, target: str, relation: str | No
     """The ids on a path of the fewest steps, None if there is none within max_depth; of several the one that sorts first."""
     if source == target:
         return [source]
-    adjacency = steps(edges, relation, direction).distinct()
-    graph = local_graph(adjacency, limit=local_edges)
+    graph, adjacency = held(steps(edges, relation, direction), limit=local_edges)
     if graph is not None:
         a, b = graph.index(source), graph.index(target)
         if a is None or b is None:
             return None
         return _first_path(graph, graph.levels(a, max_depth), a, b)
-    adjacency = written(adjacency, "adjacency")
     frontier = edges.sparkSession.createDataFrame([(source, [source])], "node string, path array<string>")
     visited = frontier.select("node")
     for _ in range(max_depth):

@@ -84,6 +84,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    part_finely(df)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -128,6 +129,24 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def source_bytes(df: DataFrame) -> int:
-    """The bytes of the tables df reads, each time it reads them; those of rows made by the driver count too."""
+    """The bytes of the files df reads, each time it reads them; no job is run."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < UNKNOWN_BYTES)
+
+
+#: Bytes of files for a partition of a shuffle.
+PARTITION_BYTES = 8 << 20
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def part_finely(df: DataFrame) -> None:
+    """Has shuffles begin with partitions enough for what df reads, so that a task's memory doesn't grow with the input.
+
+    The setting is only ever raised, and stays for what is computed later; adaptive
+    execution merges partitions that turn out to be small.
+    """
+    spark = df.sparkSession
+    wanted = -(-source_bytes(df) // PARTITION_BYTES)
+    if wanted > int(spark.conf.get(_INITIAL, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(_INITIAL, wanted)

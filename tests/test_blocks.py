@@ -42,7 +42,7 @@ def test_ids_whose_hashes_meet(tangled, monkeypatch):
 @pytest.mark.parametrize("name", ["pagerank", "connected_components"])
 def test_edges_that_may_be_many_are_made_once(spark, monkeypatch, name):
     """Before, they were made to be counted, and again to be joined."""
-    monkeypatch.setattr(adjacency, "SMALL_BYTES", 0)
+    monkeypatch.setattr(adjacency, "SMALL_BYTES", -1)
     monkeypatch.setattr(adjacency, "LOCAL_EDGES", 3)
     made = spark.sparkContext.accumulator(0)
 
