@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metadata import as_text, kind_of, raw_value
 from ..operators.adjacency import reach, steps
+from ..session import written
 
 
 class PatternError(ValueError):
@@ -260,6 +261,11 @@ def run(records: DataFrame, edges: DataFrame, query: str | Pattern, *, max_nodes
     it reaches are looked at, itself first, then by depth and id.
     """
     p = parse(query) if isinstance(query, str) else query
+    return _rows(records, _pairs(records, edges, p, max_nodes, local_edges), p)
+
+
+def _pairs(records: DataFrame, edges: DataFrame, p: Pattern, max_nodes: int | None, local_edges: int | None = None) -> DataFrame:
+    """(start, node): the ends of what the pattern finds, before conditions."""
     starts = _starts(records, p)
     adjacency = steps(edges, p.relation, "out")
     if (p.least, p.most) == (1, 1) and max_nodes is None:
@@ -273,6 +279,10 @@ def run(records: DataFrame, edges: DataFrame, query: str | Pattern, *, max_nodes
         pairs = pairs.where((F.col("depth") >= p.least) & (F.col("depth") <= p.most))
         if p.least > 0:
             pairs = pairs.where("start <> node")
+    return pairs
+
+
+def _rows(records: DataFrame, pairs: DataFrame, p: Pattern) -> DataFrame:
     ends = {p.left: "start", p.right: "node"}
     bound = pairs.select(*[F.col(c).alias(f"{v}_id") for v, c in ends.items()])
     used = {c.variable for g in p.any_of for c in g if c.field != "id"} | {i.variable for i in p.items if i.field != "id"}
@@ -321,6 +331,14 @@ class Found:
 
 def run_capped(records: DataFrame, edges: DataFrame, query: str | Pattern, max_nodes: int = 1000) -> Found:
     """As run(), of each start with the max_nodes nearest of the nodes it reaches, itself counted, by depth and id."""
+    p = parse(query) if isinstance(query, str) else query
+    if (p.least, p.most) == (1, 1) and max_nodes > 0:
+        # one step: neighbours are sorted where they are, and the last of max_nodes tells whether there are too many
+        near = steps(edges, p.relation, "out").where("src <> dst").join(_starts(records, p), F.col("src") == F.col("id"), "left_semi")
+        near = near.repartition("src").distinct().withColumn("place", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("place") <= max_nodes)
+        near = written(near, "near")
+        pairs = near.where(F.col("place") < max_nodes).select(F.col("src").alias("start"), F.col("dst").alias("node"))
+        return Found(_rows(records, pairs, p), not near.where(F.col("place") == max_nodes).isEmpty())
     return Found(run(records, edges, query, max_nodes=max_nodes), truncated(records, edges, query, max_nodes))
 
 
