@@ -13,7 +13,7 @@ from .functions.words import query_phrases
 from .operators import algorithms, graph, hybrid, keyword, vector
 from .operators.adjacency import reach, steps
 from .plans import pattern
-from .session import new_path
+from .session import discard, new_path, written
 from .sources.bundle import concept_edges, read_bundle, write_bundle
 from .store import Collection
 
@@ -553,13 +553,14 @@ def pagerank_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges, written as CSV twice, the second time with what counts, and imported; blank cells, rows without an end and text among the metadata."""
     path = new_path(spark, "csv")
-    edges = catalog.edges(spark, sf_dir)
+    edges = written(catalog.edges(spark, sf_dir), "edges")
     rows = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.when(F.col("relation") != "in_region", F.col("relation")).alias("kind"), F.get_json_object("metadata", "$.weight").alias("weight"), F.concat(F.lit("of "), "source_id").alias("note"))
     earlier = rows.withColumns({"weight": F.lit("0"), "note": F.lit("earlier")})
     broken = rows.limit(1).withColumn("target", F.lit(None).cast("string"))
-    turns = earlier.withColumn("turn", F.lit(1)).union(rows.withColumn("turn", F.lit(2))).union(broken.withColumn("turn", F.lit(3)))
-    # files are named in the order of their rows
-    turns.orderBy("turn", "source", "target").drop("turn").write.option("header", True).csv(path)
+    # files are named in the order of the turns; in one turn no edge repeats
+    for turn, some in enumerate((earlier, rows, broken)):
+        some.write.option("header", True).csv(f"{path}/turn={turn}")
+    discard(edges)
     made = _collection(spark, sf_dir)
     made.import_edges_csv(path, relation_column="kind", metadata_columns=["weight", "note"])
     return made.edges.select("source_id", "target_id", "relation", F.get_json_object("metadata", "$.weight").cast("double").alias("weight"), F.get_json_object("metadata", "$.note").alias("note"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,15 +18,24 @@ class Imported:
 
     edges: DataFrame
     skipped_rows: DataFrame
+    #: (good): all rows, and whether each has an edge; for counting them in one pass.
+    rows: DataFrame | None = None
 
     def counts(self) -> dict[str, int]:
-        return {"imported": self.edges.count(), "skipped": self.skipped_rows.count()}
+        both = self.edges.select(F.lit(1).alias("kept")).union(self.skipped_rows.select(F.lit(0))).agg(F.count("*"), F.sum("kept")).first() if self.rows is None else self.rows.agg(F.count("*"), F.count_if("good")).first()
+        return {"imported": both[1] or 0, "skipped": both[0] - (both[1] or 0)}
+
+
+#: What JSON begins with, and numbers that are JSON for certain.
+_MAY_BE_JSON, _NUMBER = r'^\s*[\[{"\-0-9tfn]', r"^-?(?:0|[1-9][0-9]{0,14})(?:\.[0-9]{1,15})?$"
 
 
 def _value(cell: Column) -> Column:
     """A cell as JSON: itself where it is JSON, else a JSON string."""
     text = F.to_json(F.struct(cell.alias("v")))
-    return F.when(F.try_parse_json(cell).isNotNull(), cell).otherwise(F.regexp_extract(text, r'(?s)^\{"v":(.*)\}$', 1))
+    # a parser's failure costs more than all else of a row
+    is_json = F.when(cell.rlike(_NUMBER), True).when(cell.rlike(_MAY_BE_JSON), F.try_parse_json(cell).isNotNull()).otherwise(False)
+    return F.when(is_json, cell).otherwise(F.substring(text, F.lit(6), F.length(text) - 6))
 
 
 def edges_from_csv(spark: SparkSession, path: str, source_column: str = "source", target_column: str = "target", relation_column: str | None = None, default_relation: str = "related", metadata_columns: list[str] | None = None) -> Imported:
@@ -42,11 +52,11 @@ def edges_from_csv(spark: SparkSession, path: str, source_column: str = "source"
     source = F.trim(F.coalesce(F.col(source_column) if source_column not in missing else F.lit(""), F.lit("")))
     target = F.trim(F.coalesce(F.col(target_column) if target_column not in missing else F.lit(""), F.lit("")))
     relation = F.trim(F.coalesce(F.col(relation_column), F.lit(""))) if relation_column in rows.columns else F.lit("")
-    parts = [F.when(F.trim(F.col(c)) != "", F.concat(F.to_json(F.array(F.lit(c))).substr(F.lit(2), F.length(F.to_json(F.array(F.lit(c)))) - 2), F.lit(":"), _value(F.col(c)))) for c in metadata_columns or [] if c in rows.columns]
+    parts = [F.when(F.trim(F.col(c)) != "", F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ":"), _value(F.col(c)))) for c in metadata_columns or [] if c in rows.columns]
     metadata = F.concat(F.lit("{"), F.concat_ws(",", *parts) if parts else F.lit(""), F.lit("}"))
     made = rows.select(source.alias("source_id"), target.alias("target_id"), F.when(relation == "", F.lit(default_relation)).otherwise(relation).alias("relation"), metadata.alias("metadata"), position.alias("position"))
     good = (F.col("source_id") != "") & (F.col("target_id") != "")
-    return Imported(made.where(good), made.where(~good))
+    return Imported(made.where(good), made.where(~good), rows.select(((source != "") & (target != "")).alias("good")))
 
 
 def edges_from_adjacency(spark: SparkSession, path: str, relation: str = "related", delimiter: str = " ") -> Imported:
