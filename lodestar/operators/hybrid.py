@@ -26,9 +26,14 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame, k: int = 10, rrf_k: in
     return fused.orderBy(*best).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*best))).select("rank", "id", "score", "vector_rank", "keyword_rank")
 
 
-def search(records: DataFrame, query_vector: Sequence[float], query_text: str, k: int = 10, *, where=None, rrf_k: int = 60, candidate_pool: int = 50, metric: str = "cosine", mode: str = "pre", stemmed: bool = True) -> DataFrame:
-    """Hybrid search of records (id, embedding, metadata, text): both lists hold max(k, candidate_pool) records."""
+def search(records: DataFrame, query_vector: Sequence[float], query_text: str, k: int = 10, *, where=None, rrf_k: int = 60, candidate_pool: int = 50, metric: str = "cosine", mode: str = "pre", stemmed: bool = True, texts: DataFrame | None = None) -> DataFrame:
+    """Hybrid search of records (id, embedding, metadata, text): both lists hold max(k, candidate_pool) records.
+
+    Texts (id, text) may be a table of their own, which then isn't joined with the
+    vectors; what only they have is found too, without metadata.
+    """
     pool = max(k, candidate_pool)
+    apart = texts is not None
     by_vector = top_k(records.select("id", "embedding", "metadata"), query_vector, pool, metric=metric, where=where, mode=mode)
-    by_keyword = filtered_search(records.select("id", "text"), records.select("id", "metadata"), query_text, pool, where, mode=mode, stemmed=stemmed)
-    return fuse(by_vector, by_keyword, k, rrf_k).join(records.select("id", "metadata"), "id").orderBy("rank")
+    by_keyword = filtered_search(texts if apart else records.select("id", "text"), records.select("id", "metadata"), query_text, pool, where, mode=mode, stemmed=stemmed)
+    return fuse(by_vector, by_keyword, k, rrf_k).join(records.select("id", "metadata"), "id", "left" if apart else "inner").orderBy("rank")

@@ -294,8 +294,8 @@ SELECT CAST(row_number() OVER (ORDER BY score DESC, vr NULLS LAST, kr NULLS LAST
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, where) -> DataFrame:
-    records = catalog.full_records(spark, sf_dir)
-    return _rounded(hybrid.search(records, _vector(records), WORDS, 10, where=where, stemmed=False)).select("rank", "id", "score")
+    records = catalog.records(spark, sf_dir)
+    return _rounded(hybrid.search(records, _vector(records), WORDS, 10, where=where, stemmed=False, texts=catalog.texts(spark, sf_dir))).select("rank", "id", "score")
 
 
 @query(_hybrid_sql())
