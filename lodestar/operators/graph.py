@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metadata import kind_of, predicate, raw_value
-from ..session import written
+from ..session import part_finely, written
 from .adjacency import Graph, check_direction, held, local_graph, of_relation, reach, steps
 from .vector import top_k
 
@@ -137,6 +137,7 @@ def shortest_path_weighted(edges: DataFrame, source: str, target: str, relation:
     """
     if source == target:
         return [source], 0.0
+    part_finely(edges)
     adjacency = written(weighted_steps(edges, relation, direction, weight_field, default_weight), "weighted")
     spark = edges.sparkSession
     starts = spark.createDataFrame([(source,)], "start string")

@@ -13,7 +13,7 @@ from .functions.words import query_phrases
 from .operators import algorithms, graph, hybrid, keyword, vector
 from .operators.adjacency import reach, steps
 from .plans import pattern
-from .session import discard, new_path, written
+from .session import discard, new_path, part_finely, written
 from .sources.bundle import concept_edges, read_bundle, write_bundle
 from .store import Collection
 
@@ -553,7 +553,9 @@ def pagerank_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 def import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All edges, written as CSV twice, the second time with what counts, and imported; blank cells, rows without an end and text among the metadata."""
     path = new_path(spark, "csv")
-    edges = written(catalog.edges(spark, sf_dir), "edges")
+    edges = catalog.edges(spark, sf_dir)
+    part_finely(edges)
+    edges = written(edges, "edges")
     rows = edges.select(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.when(F.col("relation") != "in_region", F.col("relation")).alias("kind"), F.get_json_object("metadata", "$.weight").alias("weight"), F.concat(F.lit("of "), "source_id").alias("note"))
     earlier = rows.withColumns({"weight": F.lit("0"), "note": F.lit("earlier")})
     broken = rows.limit(1).withColumn("target", F.lit(None).cast("string"))

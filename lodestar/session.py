@@ -84,7 +84,6 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    part_finely(df)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -22,7 +22,7 @@ def test_partitions_follow_the_input(spark, small, setting, monkeypatch):
     assert 0 < held and session.source_bytes(rows.union(rows)) == 2 * held
     assert session.source_bytes(spark.createDataFrame([("a",)], "x string")) < 1 << 20  # of unknown size
     monkeypatch.setattr(session, "PARTITION_BYTES", max(1, held // 50))
-    session.written(rows.groupBy("l_partkey").count(), "t")
+    session.part_finely(rows.groupBy("l_partkey").count())
     assert int(spark.conf.get(session._INITIAL)) >= 50
     session.part_finely(rows.limit(1))
     assert int(spark.conf.get(session._INITIAL)) >= 50
